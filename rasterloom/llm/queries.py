@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import media, mixing, packing, token_files, topk
+from rasterloom.llm import hmm, language_id, media, mixing, packing, simhash, token_files, topk
 from rasterloom.session import materialize, table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write_tokens(table(spark, sf_dir, "documents"))
     documents, firsts = token_files.read_shards(shards)
@@ -18,6 +23,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(digest, firsts).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language_id.sample(docs, language_id.training_rows())
+    rows = docs.select("doc_id", (~language_id.training_rows()).alias("held_out"), "text")
+    return language_id.identify(rows, learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"))
     digest = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pack-digests")
@@ -85,11 +97,18 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
     "op9_topk": op9_topk,
+    "op10_hmm_lm": op10_hmm_lm,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
