@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import hmm, language_id, media, mixing, packing, simhash, token_files, topk
+from rasterloom.llm import hmm, language_id, line_dedup, media, mixing, packing, simhash, token_files, topk
 from rasterloom.session import materialize, table
 
 
@@ -16,6 +16,42 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "n_lines", "n_deleted")
+
+
+#: The same rule, read off the lines themselves: runs of one to three lines as text.
+OP2_SQL = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS units FROM documents),
+raw AS (SELECT doc_id, generate_subscripts(units, 1) - 1 AS i, unnest(units) AS line FROM split),
+l AS (
+  SELECT doc_id, i, rtrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw),
+x AS (
+  SELECT *, lead(line) OVER d AS line1, lead(line, 2) OVER d AS line2, lead(w) OVER d AS w1, lead(w, 2) OVER d AS w2,
+         lag(w) OVER d AS v1, lag(w, 2) OVER d AS v2
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+m AS (
+  SELECT doc_id, i AS start, CASE WHEN w >= 3 THEN 1 WHEN w + w1 >= 3 THEN 2 WHEN w + w1 + w2 >= 3 THEN 3 END AS n FROM x
+  UNION
+  SELECT doc_id, i - n + 1, n FROM (
+    SELECT doc_id, i, CASE WHEN w >= 3 THEN 1 WHEN w + v1 >= 3 THEN 2 WHEN w + v1 + v2 >= 3 THEN 3 END AS n FROM x) WHERE n IS NOT NULL),
+r AS (
+  SELECT m.doc_id, m.start, m.n, CASE m.n WHEN 1 THEN x.line WHEN 2 THEN x.line || chr(10) || x.line1
+         ELSE x.line || chr(10) || x.line1 || chr(10) || x.line2 END AS run
+  FROM m JOIN x ON x.doc_id = m.doc_id AND x.i = m.start WHERE m.n IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, start) AS k FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + n - 1)) AS i FROM o WHERE k > 1),
+kept AS (
+  SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.i) AS text
+  FROM raw ANTI JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i GROUP BY raw.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT split.doc_id, coalesce(kept.text, '') AS text, CAST(len(units) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_files.write_tokens(table(spark, sf_dir, "documents"))
     documents, firsts = token_files.read_shards(shards)
@@ -103,6 +139,7 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
@@ -111,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_hmm_lm": op10_hmm_lm,
 }
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_mixing": OP7_SQL, "op9_topk": OP9_SQL}
