@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import hmm, language_id, line_dedup, media, mixing, packing, simhash, token_files, topk
+from rasterloom.llm import hmm, html_extract, language_id, line_dedup, media, mixing, packing, simhash, token_files, topk
 from rasterloom.session import materialize, table
 
 
@@ -72,6 +72,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digest).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, pieces = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken(rows, pieces).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -143,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_packing": op5_packing,
+    "op6_html_text": op6_html_text,
     "op7_mixing": op7_mixing,
     "op8_media": op8_media,
     "op9_topk": op9_topk,
