@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from rasterloom.plans import config_queries, raster_queries, vector_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**raster_queries.QUERIES, **vector_queries.QUERIES, **config_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**raster_queries.ORACLE_SQL, **vector_queries.ORACLE_SQL, **config_queries.ORACLE_SQL}
