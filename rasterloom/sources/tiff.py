@@ -48,15 +48,15 @@ def lzw_encode(data: bytes) -> bytes:
         put(table[now])
         table[longer] = size
         size += 1
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
-        if size >= 4094:
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
+        if size >= 4095:
             put(256)
             table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
         now = bytes([b])
     if now:
         put(table[now])
         size += 1
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
     put(257)
     if n:
         out.append(bits << (8 - n) & 255)
