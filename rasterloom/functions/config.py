@@ -10,6 +10,8 @@ from rasterloom.operators.tiling import METERS
 #: Fixed values of the formats.
 LABEL_PATHS = ("$.class_names", "$.classes", "$.labels", "$._Attributes.labels")
 FRAMEWORK, TASK, WANTED, DEFAULT_LABELS = "pytorch", "semantic_segmentation", "landslide", ("background", "landslide")
+#: Prefixes of a session's own folders and files.
+SESSION_FOLDER, SESSION_FILE = "lcc_draft_session_", "lcc_draft_"
 UNSAFE = "<>\\/:\";?*|=,`"
 
 
@@ -70,7 +72,7 @@ def layer_name(name: Column, default: str = WANTED) -> Column:
     return F.substring(F.coalesce(F.nullif(F.regexp_replace(F.trim(name), pattern, "_"), F.lit("")), F.lit(default)), 1, 80)
 
 
-def base_name(path: Column, default: str = "land_cover_result") -> Column:
+def base_name(path: Column, default: str = "result") -> Column:
     """File name without folder and extension."""
     return F.coalesce(F.nullif(F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, "\\\\", "/"), "/"), -1), "\\.[^.]*$", ""), F.lit("")), F.lit(default))
 
@@ -108,4 +110,4 @@ def own_draft(source: Column, marker: Column, temp_root: str) -> Column:
     parts = F.split(F.regexp_replace(source_path(source), "\\\\", "/"), "/")
     folder, name = F.coalesce(F.get(parts, F.size(parts) - 2), F.lit("")), F.element_at(parts, -1)
     parent = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
-    return (F.coalesce(marker, F.lit("")) == "1") | F.startswith(folder, F.lit("lcc_draft_session_")) | (F.startswith(name, F.lit("lcc_draft_")) & (parent == temp_root.rstrip("/")))
+    return (F.coalesce(marker, F.lit("")) == "1") | F.startswith(folder, F.lit(SESSION_FOLDER)) | (F.startswith(name, F.lit(SESSION_FILE)) & (parent == temp_root.rstrip("/")))
