@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.graph import connected_components
+from rasterloom.operators.ranking import global_rank
 from rasterloom.operators.tiling import BLOCK
 from rasterloom.session import materialize
 
@@ -68,14 +69,15 @@ def label(pixels: DataFrame, connectivity: int = 8, block: int = BLOCK) -> DataF
     return found.join(roots, F.col("label") == F.col("id"), "left").select("row", "col", F.coalesce("root", "label").alias("label"))
 
 
-def records(labels: DataFrame, width: int, height: int) -> DataFrame:
-    """label, comp_id, pixel_count, border: comp_id numbers components by their first pixel.
-
-    The numbering sorts one row per component, not per pixel; see ranking.prefix_before for a bucketed rank.
-    """
+def sizes(labels: DataFrame, width: int, height: int) -> DataFrame:
+    """label, pixel_count, border: whether the component touches the image's border."""
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)
-    found = labels.groupBy("label").agg(F.count("*").alias("pixel_count"), F.bool_or(edge).alias("border"))
-    return found.withColumn("comp_id", F.row_number().over(Window.orderBy("label")))
+    return labels.groupBy("label").agg(F.count("*").alias("pixel_count"), F.bool_or(edge).alias("border"))
+
+
+def records(labels: DataFrame, width: int, height: int) -> DataFrame:
+    """sizes with comp_id, which numbers components by their first pixel."""
+    return global_rank(sizes(labels, width, height), ["label"], "comp_id")
 
 
 def fill_holes(mask: DataFrame, max_pixels: int | None, width: int, height: int, block: int = BLOCK, hole_connectivity: int = 4) -> DataFrame:
@@ -85,7 +87,7 @@ def fill_holes(mask: DataFrame, max_pixels: int | None, width: int, height: int,
     """
     empty = mask.filter("m = 0").select("row", "col")
     holes = label(empty, hole_connectivity, block)
-    small = records(holes, width, height).filter("not border")
+    small = sizes(holes, width, height).filter("not border")
     small = small if max_pixels is None else small.filter(F.col("pixel_count") <= max_pixels)
     fill = holes.join(small.select("label"), "label", "left_semi").select("row", "col", F.lit(1).alias("fill"))
     out = mask.join(fill, ["row", "col"], "left").withColumn("m", F.greatest("m", F.coalesce("fill", F.lit(0)))).drop("fill")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import components
+from rasterloom.operators.ranking import global_rank
 
 #: The draft's columns, origins, class, and attempts at a fusion.
 DRAFT = "class_id int, class_name string, source_id int, feature_uuid string, origin string, run_id string"
@@ -57,7 +58,7 @@ def features_of(area: DataFrame, origin: str, run_id: str | None) -> DataFrame:
     """One feature per part: the draft's columns and its cells. uuid() differs each time: write before reuse."""
     parts = single_parts(area)
     found = parts.groupBy("part").agg(F.sort_array(F.collect_list(F.struct(*KEY))).alias("cells"))
-    numbered = found.withColumn("source_id", F.row_number().over(Window.orderBy("part")))
+    numbered = global_rank(found, ["part"], "source_id")
     return numbered.select(
         F.lit(CLASS_ID).alias("class_id"), F.lit(CLASS_NAME).alias("class_name"), "source_id", F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("feature_uuid"),
         F.lit(origin).alias("origin"), F.lit(run_id if origin == INFERENCE else None).cast("string").alias("run_id"), "cells",
@@ -72,7 +73,7 @@ def normalise(features: DataFrame, order: str, geometry: str = "cells", default_
     use = F.row_number().over(Window.partitionBy("feature_uuid").orderBy(order))
     fresh = F.replace(F.uuid(), F.lit("-"), F.lit(""))
     out = kept.withColumn("_use", use).withColumn("_renew", F.col("feature_uuid").isNull() | (F.col("feature_uuid") == "") | (F.col("_use") > 1))
-    out = out.withColumn("source_id", F.row_number().over(Window.orderBy(order)).cast("int")).withColumn("origin", origin)
+    out = global_rank(out.drop("source_id"), [order], "source_id").withColumn("origin", origin)
     out = out.withColumn("run_id", F.when(F.col("origin") == INFERENCE, F.coalesce(F.nullif("run_id", F.lit("")), F.lit(default_run))))
     return out.withColumn("feature_uuid", F.when(F.col("_renew"), fresh).otherwise(F.col("feature_uuid"))).drop("_use", "_renew")
 

@@ -234,3 +234,41 @@ def covers(ring: Column, x: Column, y: Column) -> Column:
     edges = F.zip_with(ring, F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     crossing = lambda e: F.coalesce(((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0))), F.lit(False))
     return F.size(F.filter(edges, crossing)) % 2 == 1
+
+
+def near_ring(ring: Column, x: Column, y: Column, reach: Column | float) -> Column:
+    """The point lies within reach of the ring's line."""
+    edges = F.zip_with(ring, F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def close(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        t = F.coalesce(((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+        px, py = x - e["a"]["x"] - t * dx, y - e["a"]["y"] - t * dy
+        return F.coalesce(px * px + py * py <= reach * reach, F.lit(False))
+
+    return F.exists(edges, close)
+
+
+def safe_shape(ring: Column, original: Column, negatives: Column, reach: float) -> Column:
+    """Few enough vertices, an area close to the original's, and no negative prompt (array of x, y) inside or within
+    reach of its line."""
+    ratio = ring_area(ring) / F.nullif(ring_area(original), F.lit(0.0))
+    hit = F.exists(negatives, lambda p: covers(ring, p["x"], p["y"]) | near_ring(ring, p["x"], p["y"], reach))
+    return F.coalesce((F.size(ring) >= 4) & (F.size(ring) <= MAX_VERTICES) & ratio.between(MIN_RATIO, MAX_RATIO) & ~F.coalesce(hit, F.lit(False)), F.lit(False))
+
+
+def message_polygon(message: Column) -> Column:
+    """Rings of the largest polygon of a mask message, {"polygons": [{"shell": [[x, y], ...], "holes": [...]}]}; null
+    where no shell has three points."""
+    got = F.from_json(message, "polygons array<struct<shell:array<array<double>>,holes:array<array<array<double>>>>>")["polygons"]
+    points = lambda g: F.transform(g, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))
+    rings = F.transform(F.filter(got, lambda p: F.size(p["shell"]) >= 3), lambda p: F.concat(F.array(closed(points(p["shell"]))), F.transform(F.coalesce(p["holes"], F.array().cast("array<array<array<double>>>")), lambda h: closed(points(h)))))
+    sized = F.transform(rings, lambda r: F.struct(ring_area(F.element_at(r, 1)).alias("area"), r.alias("rings")))
+    best = F.array_max(F.transform(sized, lambda s: s["area"]))
+    return F.get(F.filter(sized, lambda s: s["area"] == best), 0)["rings"]
+
+
+def tolerance_of(pixels: float, pixel_size: tuple[float, float]) -> float:
+    """A tolerance given in pixels, in map units."""
+    return pixels * max(pixel_size)

@@ -65,3 +65,8 @@ atexit.register(release)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cancellable(spark: SparkSession, tag: str):
+    """(start, stop): jobs that the thread starts after start() carry tag; stop() from any thread cancels them."""
+    return (lambda: spark.addTag(tag)), (lambda: spark.interruptTag(tag))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators import regions, vector
+from rasterloom.operators import regions, tiling, vector
 from rasterloom.operators.tiling import Affine
 from rasterloom.sinks import dxf, shapefile
 from rasterloom.sources import tiff
@@ -39,3 +39,10 @@ def export(cells: DataFrame, kind: str, path: str, width: int, height: int, tran
 
 def output_path(base: str, kind: str) -> str:
     return base + ENDINGS[kind]
+
+
+def burn(polygons: DataFrame, width: int, height: int, value: str = "class_id", background: int = 0) -> DataFrame:
+    """row, col, value on the full grid: each cell takes the value of the polygon over it, the greatest of several."""
+    cells = vector.rasterize(polygons, width, height, keep=(value,)).groupBy("row", "col").agg(F.max(value).alias("value"))
+    grid = tiling.full_grid(polygons.sparkSession, width, height)
+    return grid.join(cells, ["row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(background)))

@@ -51,3 +51,18 @@ def test_model_inputs_and_padding():
     assert np.allclose(p, np.e / (1 + np.e))
     with pytest.raises(ValueError):
         inference.class_probability([np.zeros((2, 2, 2))], 2)
+
+
+def test_tile_stream(spark, tmp_path):
+    from rasterloom.raster import Raster
+    from rasterloom.streaming import tiles
+
+    rows = [("r", 0, 0, i, 0, 4 * i, 2, 4, [0.9, 0.1, float("nan"), 0.6, 0.2, 0.5, 0.4, 0.7]) for i in range(3)]
+    df = spark.createDataFrame(rows, tiles.TILE)
+    df.write.parquet(str(tmp_path / "in"))
+    tiles.ingest(tiles.tile_stream(spark, str(tmp_path / "in")), 0.5, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == 3 and {(r.valid, r.foreground) for r in got} == {(7, 4)}
+    r = Raster(tiles.pixels_of(df), 12, 2)
+    assert r.pixels.count() == 24 and r.threshold(0.5).components().select("label").distinct().count() == 3
+    assert r.region({"mode": "canvas_intersection", "bounds": [0, -2, 4, 0]}).pixels.count() == 8

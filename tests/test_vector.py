@@ -148,3 +148,29 @@ def test_bundles(spark, tmp_path):
     assert bundles.strip_prefix({"state_dict": {"module.x": 1, "y": 2}}) == {"x": 1, "y": 2}
     with pytest.raises(FileNotFoundError):
         bundles.load(str(tmp_path))
+
+
+def test_messages_and_safety(spark):
+    message = '{"polygons":[{"shell":[[0,0],[1,0],[1,1]],"holes":[]},{"shell":[[0,0],[9,0],[9,9],[0,9]],"holes":[[[1,1],[2,1],[2,2]]]},{"shell":[[0,0]]}]}'
+    df = spark.createDataFrame([(message, [(5.0, 5.0)]), ('{"polygons":[]}', []), (message, [(20.0, 20.0)])], "m string, n array<struct<x:double,y:double>>")
+    got = df.select(vector.message_polygon(F.col("m")).alias("rings"), "n")
+    got = got.withColumn("safe", vector.safe_shape(F.element_at("rings", 1), F.element_at("rings", 1), F.col("n"), 0.5)).collect()
+    assert len(got[0].rings) == 2 and len(got[0].rings[0]) == 5 and got[1].rings is None
+    assert [r.safe for r in got] == [False, False, True]
+    assert vector.tolerance_of(2, (1.0, 3.0)) == 6.0
+
+
+def test_burn_and_images(spark, tmp_path):
+    from rasterloom.sources import images
+
+    shapes = vector.polygonize(cells(spark, SHAPE)).withColumn("class_id", F.lit(3))
+    got = export.burn(shapes, 20, 15)
+    assert got.count() == 300 and got.filter("value = 3").count() == len(SHAPE)
+    img = np.arange(24, dtype="u1").reshape(2, 4, 3)
+    (tmp_path / "a.ppm").write_bytes(b"P6\n# x\n4 2 255\n" + img.tobytes())
+    np.save(tmp_path / "b.npy", img[:, :, 0])
+    (tmp_path / "c.bin").write_bytes(b"junk")
+    read = images.read(spark, str(tmp_path)).cache()
+    rows = {r.path[-5:]: r for r in read.collect()}
+    assert rows["a.ppm"].samples == img.astype(float).ravel().tolist() and rows["b.npy"].bands == 1 and rows["c.bin"].samples is None
+    assert images.pixels(read).filter("band = 2 and row = 1 and col = 3 and path like '%ppm'").first().value == 23
