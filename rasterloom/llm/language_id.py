@@ -89,11 +89,16 @@ class Model:
                 if len(form) == 1:
                     self.code[ord(form)] = i + 1
         self.names = sorted({lang for lang, _ in sample})
-        self.tables, self.bits = [], []
+        self.tables, self.none, self.bits = [], [], []
         for name in self.names:
             text = np.concatenate([np.concatenate([[0], self._symbols(t)]) for lang, t in sample if lang == name])
             table = suffix_automaton(text, self.symbols)
-            start = np.maximum(table[0], 0)  # a symbol that the language lacks is a phrase of its own
+            # a last state without transitions: before the text, and after a symbol that the language lacks, which is
+            # a phrase of its own
+            none = len(table)
+            table = np.vstack([table, np.full((1, self.symbols), -1, np.int32)])
+            start = np.where(table[0] >= 0, table[0], none)
+            self.none.append(none)
             self.tables.append(np.where(table >= 0, table, start[None, :] + ENDS).astype(np.int32).ravel())
             self.bits.append(np.log2(max(2, len(text))))
 
@@ -129,8 +134,8 @@ class Model:
         columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
         left = np.searchsorted(-size[order], -np.arange(BLOCK), "left")
         for k, table in enumerate(self.tables):
-            state = np.zeros(len(owner), np.int32)
-            seen = np.ones(len(owner), np.int32)
+            state = np.full(len(owner), self.none[k], np.int32)
+            seen = np.zeros(len(owner), np.int32)
             for j in range(BLOCK):
                 n = left[j]
                 if not n:
@@ -198,13 +203,13 @@ def identify(docs: DataFrame, learned: tuple[tuple[str, str], ...], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(held.value)
         for b in batches:
-            got = list(zip(*m.predict(b.column(b.schema.get_field_index("_text")).to_pylist()), strict=True)) or [(), (), ()]
+            got = list(zip(*m.predict(b.column(b.schema.get_field_index("__language_text")).to_pylist()), strict=True)) or [(), (), ()]
             cols = [pa.array(c, k) for c, k in zip(got, (pa.string(), pa.float64(), pa.float64()), strict=True)]
-            keep = [i for i, n in enumerate(b.schema.names) if n != "_text"]
+            keep = [i for i, n in enumerate(b.schema.names) if n != "__language_text"]
             yield pa.record_batch([*(b.column(i) for i in keep), *cols], names=[*(b.schema.names[i] for i in keep), *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", F.col(text).cast("string")).mapInArrow(run, schema + ", lang_pred string, score double, bits_per_symbol double")
+    return docs.withColumn("__language_text", F.col(text).cast("string")).mapInArrow(run, schema + ", lang_pred string, score double, bits_per_symbol double")
 
 
 def training_rows(key: str = "doc_id", modulus: int = 4, held: int = 2):
