@@ -20,7 +20,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import word_count
 from rasterloom.session import materialize
 
 #: Words that a repeated run must have. A run is any number of whole lines.
@@ -37,7 +36,7 @@ def _units(text: Column) -> Column:
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id and a hash of the text name a document; rows that repeat both are one document."""
-    return docs.withColumn("_id", F.col(key)).withColumn("_th", F.xxhash64(F.col(text)))
+    return docs.withColumn("__dedup_id", F.col(key)).withColumn("__dedup_th", F.xxhash64(F.col(text)))
 
 
 def _named(rows: DataFrame, parts: list[str], out: str) -> DataFrame:
@@ -51,9 +50,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     """doc_id, th, start, lines: shortest runs with min_words words, from a line on or back from a line, that begin
     at an earlier position too. Overlapping runs make up the maximal repeated ones."""
     rows = _keyed(docs.filter(F.col(text).isNotNull()), key, text)
-    rows = rows.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th"), F.posexplode(_units(F.col(text))).alias("at", "line"))
+    rows = rows.select(F.col("__dedup_id").alias("doc_id"), F.col("__dedup_th").alias("th"), F.posexplode(_units(F.col(text))).alias("at", "line"))
     line = F.rtrim(F.col("line"), F.lit(BLANK))
-    ids = rows.select(*KEY, "at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), word_count(line).alias("words"))
+    # only whether sums of words reach min_words matters, so counting stops there
+    some = F.size(F.split(F.ltrim(line, F.lit(BLANK)), r"[\x20\x09-\x0D]+", min_words + 1))
+    words = F.when(line == "", 0).otherwise(F.least(some, F.lit(min_words)))
+    ids = rows.select(*KEY, "at", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"), words.alias("words"))
     ids = materialize(ids.filter("words > 0"), "lines-ids")
     twice = materialize(ids.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "lines-twice")
     kept = ids.join(twice, ["h1", "h2"]).dropDuplicates([*KEY, "at"])
@@ -103,13 +105,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     """
     runs = repeated_runs(docs, key, text, min_words)
     gone = runs.select("doc_id", "th", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("lines") - 1)).alias("at"))
-    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("_gone"))
-    gone = materialize(gone.withColumnsRenamed({"doc_id": "_doc", "th": "_hash"}), "lines-gone")
+    gone = gone.groupBy("doc_id", "th").agg(F.collect_set("at").alias("__dedup_gone"))
+    gone = materialize(gone.withColumnsRenamed({"doc_id": "__dedup_doc", "th": "__dedup_hash"}), "lines-gone")
     rows = _keyed(docs.drop("n_lines", "n_deleted"), key, text)
-    rows = rows.join(gone, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash")), "left")
-    units = _units(F.col(text))
-    left = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("_gone"))
-    cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(units, i)), "\n"))
+    # the small side is hashed, so texts are not sorted
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("__dedup_id").eqNullSafe(F.col("__dedup_doc")) & (F.col("__dedup_th") == F.col("__dedup_hash")), "left")
+    units, lost = _units(F.col(text)), F.col("__dedup_gone")
+    left = lambda u: F.transform(F.array_except(F.sequence(F.lit(0), F.size(u) - 1), lost), lambda i: F.get(u, i))
+    # the outer transform binds the units, so that a text is split once and not for every line
+    joined = F.element_at(F.transform(F.array(units), lambda u: F.array_join(left(u), "\n")), 1)
+    cut = F.when(lost.isNull(), F.col(text)).otherwise(joined)
     n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(units)).cast("long")
-    out = rows.withColumn("n_lines", n_lines).withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn(text, cut)
-    return out.drop("_id", "_th", "_doc", "_hash", "_gone")
+    out = rows.withColumn("n_lines", n_lines).withColumn("n_deleted", F.coalesce(F.size("__dedup_gone"), F.lit(0)).cast("long")).withColumn(text, cut)
+    return out.drop("__dedup_id", "__dedup_th", "__dedup_doc", "__dedup_hash", "__dedup_gone")
