@@ -60,8 +60,11 @@ def step(state: dict, op: str, message: dict, backend: Backend = echo_backend) -
     return state | {"crop": crop, "signature": now, "context": got}, True, json.dumps(got, sort_keys=True)
 
 
-def run(operations: DataFrame, backend: Backend = echo_backend, timeout_ms: int = 60_000) -> DataFrame:
-    """operations: session_id, seq, op, message (JSON), streaming or not. Replies in order of seq within each batch."""
+def run(operations: DataFrame, backend: Backend = echo_backend, timeout_ms: int | None = 60_000) -> DataFrame:
+    """operations: session_id, seq, op, message (JSON), streaming or not. Replies in order of seq within each batch.
+
+    A session idle for timeout_ms is forgotten; None keeps sessions until they quit.
+    """
     def apply(state_json: str | None, rows: pd.DataFrame) -> tuple[str, pd.DataFrame]:
         state, out = json.loads(state_json) if state_json else {}, []
         for r in rows.sort_values("seq").itertuples():
@@ -87,7 +90,8 @@ def run(operations: DataFrame, backend: Backend = echo_backend, timeout_ms: int
                 state.remove()
         else:
             state.update((new,))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield out
 
-    return operations.groupBy("session_id").applyInPandasWithState(keyed, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return operations.groupBy("session_id").applyInPandasWithState(keyed, OUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
