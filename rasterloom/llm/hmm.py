@@ -11,7 +11,7 @@ Baum-Welch counts are summed over all training documents in each round: tasks ru
 recursions over segments of SEGMENT tokens and send fixed-size tables. Scores run the scaled forward recursion over
 whole documents. Only the starting point comes from a bounded sample (START_DOCS documents).
 
-Counts of the FREQUENT most frequent words are broadcast (fixed size); all others are joined in a shuffle, so
+Counts of at most FREQUENT most frequent words are broadcast (fixed size); all others are joined in a shuffle, so
 counts are exact for every word.
 """
 
@@ -90,6 +90,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most FREQUENT words with their counts: those in the highest steps of log2(c) / 16 that fit. A histogram of
+    a few hundred steps picks the step, so tasks send only words that are kept."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True)
+    least, total = None, 0
+    for s, n in steps:
+        total += n
+        if total > FREQUENT:
+            break
+        least = s
+    if least is None:
+        return []
+    return sorted((bytes(r["word"]), int(r["c"])) for r in counts.filter(step >= least).collect())
+
+
 def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: str, held_out, classes: int = CLASSES) -> DataFrame:
     """One row per document: row, doc_id, held_out, n_tokens, the frequent words' part of the sums, class ids
     (little-endian unsigned 16-bit), and its other words with their counts."""
@@ -280,7 +296,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     counts = materialize(word_counts(docs.filter(~out_of), text), "lm-counts")
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, n_types = int(facts[0]), int(facts[1])
-    often = [(bytes(r["word"]), int(r["c"])) for r in counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
+    often = frequent_words(counts)
     of_class = F.when(F.length("word") == 0, F.lit(0)).otherwise(F.crc32("word") % (CLASSES - 1) + 1)
     mass = np.full(CLASSES, ADD)
     mass[0] = ADD
