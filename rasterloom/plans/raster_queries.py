@@ -267,10 +267,11 @@ COMPONENT_DECISIONS = DECIDED_CTE + """ SELECT comp_id, pixel_count, round(dem_f
 
 
 def class_raster(spark: SparkSession, d: str) -> DataFrame:
-    return _result(spark, d).class_raster.groupBy("row").agg(F.sum("value").alias("kept"), F.count("*").alias("pixels"))
+    return _result(spark, d).class_raster.agg(F.sum("value").alias("kept"), F.count("*").alias("pixels"))
 
 
-CLASS_RASTER = DECIDED_CTE + " SELECT prob.row, CAST(count(*) FILTER (dec.label IS NOT NULL) AS BIGINT) AS kept, count(*) AS pixels FROM prob LEFT JOIN lab USING (row, col) LEFT JOIN dec ON dec.label = lab.label AND dec.rule IS NULL GROUP BY prob.row"
+CLASS_RASTER = DECIDED_CTE + """ SELECT CAST(sum(CASE WHEN rule IS NULL THEN pixel_count ELSE 0 END) AS BIGINT) AS kept, max(n.pixels) AS pixels
+FROM dec, (SELECT count(*) AS pixels FROM embeddings, generate_series(1, 64) t(i)) n"""
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
