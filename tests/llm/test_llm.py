@@ -439,13 +439,17 @@ def test_hmm_scores(spark, odd, rows, monkeypatch):
         base = sum(log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert abs(got[i].base_score - base) < 1e-6 * abs(base) and got[i].score < 0
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
     out = hmm.score(odd).collect()
     assert len(out) == len(ODD) and {r.n_tokens for r in out if r.doc_id in (2, 3, 4)} == {1}
     assert hmm.score(odd.limit(0)).count() == 0
 
 
+def test_hmm_beats_the_base_on_held_out_text(spark):
+    """On a thousand documents; with 180 training documents (scale 0.001) the model is about 1 % worse than the base."""
+    got = [r for r in queries.op10_hmm_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
 # --- pipeline
 
 
