@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import language_id, line_dedup, mixing, packing, simhash
+from rasterloom.llm import language_id, line_dedup, mixing, near, packing
 from rasterloom.session import materialize, table
 
 #: A text whose best language still needs more bits a symbol than this fits no learned language.
@@ -32,11 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays; documents without doc_id stay."""
-    found = simhash.group(docs)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(materialize(stay, "pipeline-stay"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    return near.survivors(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("pack", pack)]
 
-#: Suffix automata, SimHash and subset sums are no SQL; tests compare with brute force.
+#: Suffix automata, MinHash and subset sums are no SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

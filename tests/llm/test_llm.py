@@ -467,3 +467,38 @@ def test_pipeline(spark, odd):
     assert rows and all(r.length <= 2048 for r in rows)
     for _, stage in c.STAGES:
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_pipeline_finds_near_copies(spark, monkeypatch):
+    """Planted pairs of five-word similarity 0.8 to 0.95 lose their second text, others stay; a large block too."""
+    from rasterloom.llm import near
+    import corpus_pipeline as c
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    shingled = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items, near_ids, far_ids = [], set(), set()
+    for n in range(240):
+        w = [word() for _ in range(300)]
+        items.append((2 * n, " ".join(w)))
+        v = list(w)
+        for at in r.sample(range(300), (2, 4, 6, 12)[n % 4]):
+            v[at] = word()
+        a, b = shingled(w), shingled(v)
+        (near_ids if 10 * len(a & b) >= 8 * len(a | b) else far_ids).add(2 * n + 1)
+        items.append((2 * n + 1, " ".join(v)))
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    left = {x.doc_id for x in c.near_copies(spark, docs, DIR).collect()}
+    assert len(near_ids) > 120 and len(far_ids) > 50
+    assert len(near_ids - left) / len(near_ids) > 0.99
+    assert left >= far_ids | {2 * n for n in range(240)}
+
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "LEADERS", 3)
+    texts = []
+    w = [word() for _ in range(100)]
+    for i in range(60):  # a chain: neighbours are similar, its ends are not
+        w[i] = word()
+        texts.append((7, 1000 + i, i, " ".join(w)))
+    got = {x.node for x in near.staying(spark.createDataFrame(texts, near._TEXTS)).collect()}
+    assert got == {x[1] for x in near.decide(texts, [])} and 2 < len(got) < 30
