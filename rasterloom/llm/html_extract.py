@@ -24,7 +24,7 @@ from rasterloom.llm.common import small_batches
 
 #: Fixed values of HTML: elements without content, with raw text, that start blocks, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul "
@@ -56,6 +56,8 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+#: Where raw text ends, found in the source itself: lower-casing can lengthen a text.
+_RAW_END = {name: re.compile("</" + name, re.IGNORECASE | re.ASCII) for name in RAW | {"xmp"}}
 
 
 class Page:
@@ -77,7 +79,6 @@ class Page:
         tags, parent, depth, texts, links = self.tags, self.parent, self.depth, self.texts, self.links
         stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with the block they are in
         anchors, at, now = 0, 0, 0
-        lower = None
         for m in iter(lambda: _TAG.search(source, at), None):
             if m.start() > at:
                 text = source[at : m.start()]
@@ -102,12 +103,20 @@ class Page:
                 now = stack[-1][1]
                 continue
             if name in RAW:
-                if (m[3] or m[6] or "").endswith("/") and name in ("svg", "math"):
+                if (m[3] or m[6] or "").endswith("/") and name == "svg":
                     continue
-                lower = lower or source.lower()
-                end = lower.find("</" + name, at)
-                close = source.find(">", end) if end >= 0 else -1
-                at = len(source) if end < 0 or close < 0 else close + 1
+                end = _RAW_END[name].search(source, at)
+                close = source.find(">", end.start()) if end else -1
+                at = len(source) if close < 0 else close + 1
+                continue
+            if name == "xmp":  # its text has no tags or entities, and is kept
+                end = _RAW_END[name].search(source, at)
+                text = source[at : end.start() if end else len(source)]
+                texts.append((now, html.escape(text, quote=False)))
+                if anchors:
+                    links[now] += len(text)
+                close = source.find(">", end.start()) if end else -1
+                at = len(source) if close < 0 else close + 1
                 continue
             if name == "br" or name == "hr" or name == "wbr":
                 if name != "wbr":

@@ -316,6 +316,14 @@ def test_pages(spark):
     assert html_extract.extract(edge.limit(0)).count() == 0
 
 
+def test_raw_elements_end_where_they_end(spark):
+    """Letters that grow when lower-cased come before scripts; math and xmp are text of the article."""
+    line = "İ" * 30 + " metin."
+    page = f"<article><p>{line}<ScRiPt>var x</sCrIpT>önce <b>kalın</b> sonra.</p><p>Sum <math><mi>x</mi>+<mi>y</mi></math> is <xmp>a <b> & c</XMP> here.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_extract.extract(pages).first().text == f"{line}önce kalın sonra.\nSum x+y is a <b> & c here."
+
+
 # --- 7
 
 
