@@ -7,9 +7,9 @@ broadcast has a fixed size whatever the vocabulary, and the model is a proper di
     P(text) = P_hmm(classes of its tokens) * product over tokens of (c + 0.1) / M_class,
 
 c a token's training count, M_class the sum of (c + 0.1) over the class's training words plus 0.1 for unseen ones.
-Baum-Welch counts are summed over all training documents in each round: tasks run the scaled forward and backward
-recursions over segments of SEGMENT tokens and send fixed-size tables. Scores run the scaled forward recursion over
-whole documents. Only the starting point comes from a bounded sample (START_DOCS documents).
+Baum-Welch starts from random emissions around the class frequencies, and in each round its counts are summed over
+all training documents: tasks run the scaled forward and backward recursions over segments of SEGMENT tokens and send
+fixed-size tables. Scores run the scaled forward recursion over whole documents.
 
 Counts of at most FREQUENT most frequent words are broadcast (fixed size); all others are joined in a shuffle, so
 counts are exact for every word.
@@ -31,9 +31,8 @@ from rasterloom.session import materialize
 
 #: Fixed value of the base score's smoothing.
 ADD = 0.1
-STATES, CLASSES, SEGMENT, ROUNDS = 8, 16_384, 128, 3
+STATES, CLASSES, SEGMENT, ROUNDS = 8, 16_384, 128, 15
 FREQUENT = 100_000
-START_DOCS, START_TOKENS, START_ROUNDS = 1_500, 300, 12
 #: Weight, in tokens, of the class frequencies in each state's emissions, and of the mean in each transition row.
 SMOOTH = 200.0
 #: Distinct words that a counting task or a word cache holds at once.
@@ -272,16 +271,11 @@ def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> Hmm:
     return Hmm.estimate(total, share)
 
 
-def starting_point(training: DataFrame, share: np.ndarray, states: int) -> Hmm:
-    """Baum-Welch on the driver over a bounded sample by hash order, from random emissions."""
-    order = F.xxhash64("doc_id", "n_tokens", "row")
-    rows = training.select("classes", order.alias("order"), "row").select("order", "row", F.substring("classes", 1, 2 * START_TOKENS).alias("classes")).orderBy("order", "row").limit(START_DOCS).collect()
-    docs = [np.frombuffer(r["classes"], "<u2").astype(np.int64) for r in rows]
+def fit(training: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
+    """All rounds over all rows of training, from random emissions."""
     hmm = Hmm.random(share, states)
-    for _ in range(START_ROUNDS):
-        total = hmm.zeros()
-        hmm.counts(segments_of(docs), total)
-        hmm = Hmm.estimate(total, share)
+    for _ in range(rounds):
+        hmm = baum_welch(training, hmm, share)
     return hmm
 
 
@@ -307,10 +301,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     share = mass / mass.sum()
     coded = materialize(encode(docs, often, key, text, out_of), "lm-coded")
 
-    training = coded.filter("not held_out")
-    hmm = starting_point(training, share, states)
-    for _ in range(rounds):
-        hmm = baum_welch(training, hmm, share)
+    hmm = fit(coded.filter("not held_out"), share, states, rounds)
 
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts, "word", "left")

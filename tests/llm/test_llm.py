@@ -458,6 +458,22 @@ def test_hmm_beats_the_base_on_held_out_text(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_every_round_reads_whole_documents(spark):
+    """The learned model is that of Baum-Welch over all tokens of all 1,700 documents, also those after the 300th."""
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 8, 40) for _ in range(1690)] + [np.concatenate([r.integers(0, 8, 300), r.integers(8, 16, 300)]) for _ in range(10)]
+    share, rounds = np.full(16, 1 / 16), 5
+    rows = [(i, len(d), i, d.astype("<u2").tobytes()) for i, d in enumerate(docs)]
+    got = hmm.fit(spark.createDataFrame(rows, "row long, n_tokens long, doc_id long, classes binary"), share, 3, rounds)
+    want = hmm.Hmm.random(share, 3)
+    for _ in range(rounds):
+        total = want.zeros()
+        want.counts(hmm.segments_of(docs), total)
+        want = hmm.Hmm.estimate(total, share)
+    assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move) and np.allclose(got.start, want.start)
+    assert hmm.ROUNDS == 15 and not hasattr(hmm, "START_DOCS")
+
+
 # --- pipeline
 
 
