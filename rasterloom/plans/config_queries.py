@@ -129,6 +129,19 @@ AFFINE_POINTS = f"""WITH {fx.PROB_SQL} SELECT row, col, CAST(round(2.0 * (col +
  CAST(col + 0.5 AS DOUBLE) AS back_col, CAST(row + 0.5 AS DOUBLE) AS back_row FROM prob WHERE row < 100"""
 
 
+def affine_points_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pixel centres to map and back."""
+    t = Affine(2.0, 0.5, 1000.0, 0.25, -2.0, 5000.0)
+    g = fx.grid(spark, d)
+    x, y = t.to_map(F.col("col") + 0.5, F.col("row") + 0.5)
+    c, r = t.to_pixel(x, y)
+    return g.select("row", "col", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(c, 6).alias("back_col"), F.round(r, 6).alias("back_row"))
+
+
+AFFINE_POINTS_ALL = f"""WITH {fx.PROB_SQL} SELECT row, col, CAST(round(2.0 * (col + 0.5) + 0.5 * (row + 0.5) + 1000, 6) AS DOUBLE) AS x, CAST(round(0.25 * (col + 0.5) - 2.0 * (row + 0.5) + 5000, 6) AS DOUBLE) AS y,
+ CAST(col + 0.5 AS DOUBLE) AS back_col, CAST(row + 0.5 AS DOUBLE) AS back_row FROM prob"""
+
+
 def layer_names(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit(" a/b:"), F.col("n_name"), F.lit("|x,y ")).alias("raw"))
     return n.select("n_nationkey", config.layer_name(F.col("raw")).alias("layer"), config.source_path(F.col("raw")).alias("path"), config.base_name(F.concat(F.lit("/x/y/"), F.col("raw"), F.lit(".tif"))).alias("base"))
@@ -149,9 +162,9 @@ def prompt_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bundle_scan": bundle_scan, "config_merge": config_merge, "diagnostics": diagnostics, "progress_events": progress_events, "normalize_image": normalize_image, "percentile_stretch": percentile_stretch,
-    "model_softmax": model_softmax, "model_predict": model_predict, "affine_points": affine_points, "layer_names": layer_names, "prompt_sessions": prompt_sessions,
+    "model_softmax": model_softmax, "model_predict": model_predict, "affine_points": affine_points, "affine_points_all": affine_points_all, "layer_names": layer_names, "prompt_sessions": prompt_sessions,
 }
 ORACLE_SQL = {
     "bundle_scan": BUNDLE_SCAN, "config_merge": CONFIG_MERGE, "diagnostics": DIAGNOSTICS, "progress_events": PROGRESS_EVENTS, "normalize_image": NORMALIZE_IMAGE, "percentile_stretch": PERCENTILE_STRETCH,
-    "model_softmax": MODEL_SOFTMAX, "model_predict": MODEL_PREDICT, "affine_points": AFFINE_POINTS, "layer_names": LAYER_NAMES,
+    "model_softmax": MODEL_SOFTMAX, "model_predict": MODEL_PREDICT, "affine_points": AFFINE_POINTS, "affine_points_all": AFFINE_POINTS_ALL, "layer_names": LAYER_NAMES,
 }

@@ -274,6 +274,11 @@ CLASS_RASTER = DECIDED_CTE + """ SELECT CAST(sum(CASE WHEN rule IS NULL THEN pix
 FROM dec, (SELECT count(*) AS pixels FROM embeddings, generate_series(1, 64) t(i)) n"""
 
 
+def class_raster_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Every pixel; its SQL would be slow, so a test compares it with the decisions and labels."""
+    return _result(spark, d).class_raster.select("row", "col", "value")
+
+
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return postprocess.audit_summary(_result(spark, d), CONFIG)
 
@@ -305,7 +310,7 @@ QUERIES = {
     "kept_components": kept_components, "window_plan": window_plan, "roi_window": roi_window, "roi_outputs": roi_outputs, "halo_tiles": halo_tiles, "prob_stats": prob_stats, "prob_histogram": prob_histogram,
     "prob_percentiles": prob_percentiles, "exact_percentiles": exact_percentiles, "closing3": _morph(lambda m: stencil.closing(m, 3)), "opening3": _morph(lambda m: stencil.opening(m, 3)),
     "smooth3": _morph(lambda m: stencil.smooth(m, 3)), "tiled_closing": tiled_closing, "stage_counts": stage_counts, "component_labels": component_labels, "component_records": component_records,
-    "hole_fill": hole_fill, "dem_factors": dem_factors, "dem_align": dem_align, "zonal_stats": zonal_stats, "component_decisions": component_decisions, "class_raster": class_raster, "audit_summary": audit_summary, "multiband_valid": multiband_valid,
+    "hole_fill": hole_fill, "dem_factors": dem_factors, "dem_align": dem_align, "zonal_stats": zonal_stats, "component_decisions": component_decisions, "class_raster": class_raster, "class_raster_pixels": class_raster_pixels, "audit_summary": audit_summary, "multiband_valid": multiband_valid,
 }
 ORACLE_SQL = {
     "kept_components": KEPT_COMPONENTS, "window_plan": WINDOW_PLAN, "roi_window": ROI_WINDOW, "roi_outputs": ROI_OUTPUTS, "halo_tiles": HALO_TILES, "prob_stats": PROB_STATS, "prob_histogram": PROB_HISTOGRAM,

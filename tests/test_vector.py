@@ -174,3 +174,37 @@ def test_burn_and_images(spark, tmp_path):
     rows = {r.path[-5:]: r for r in read.collect()}
     assert rows["a.ppm"].samples == img.astype(float).ravel().tolist() and rows["b.npy"].bands == 1 and rows["c.bin"].samples is None
     assert images.pixels(read).filter("band = 2 and row = 1 and col = 3 and path like '%ppm'").first().value == 23
+
+
+def test_parts_of_all_rectangles_equal_flood_fill(spark):
+    from collections import Counter
+
+    from rasterloom.plans import fixtures as fx
+    from rasterloom.plans import vector_queries as v
+
+    d = "/root/testdata/sf0.001"
+    left = {(r.row, r.col) for r in fx.cells(fx.rects(spark, d)).select("row", "col").collect()}
+    want = Counter()
+    while left:
+        todo, n = [left.pop()], 0
+        while todo:
+            r, c = todo.pop()
+            n += 1
+            for x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                if x in left:
+                    left.remove(x)
+                    todo.append(x)
+        want[n] += 1
+    got = v.polygon_parts_all(spark, d).collect()
+    assert Counter(r.n_cells for r in got) == want and all(r.area == r.n_cells for r in got)
+
+
+def test_class_raster_by_pixel(spark):
+    from rasterloom.plans import raster_queries as q
+
+    d = "/root/testdata/sf0.001"
+    keep = {r.comp_id for r in q.component_decisions(spark, d).collect() if r.decision == "keep"}
+    ids = {r.label: r.comp_id for r in q.components.records(q._labels(spark, d), q.fx.WIDTH, q.fx.height(spark, d)).collect()}
+    want = {(r.row, r.col) for r in q._labels(spark, d).collect() if ids[r.label] in keep}
+    got = q.class_raster_pixels(spark, d).collect()
+    assert {(r.row, r.col) for r in got if r.value == 1} == want and len(got) == q.fx.grid(spark, d).count()
