@@ -526,3 +526,11 @@ def test_pipeline_finds_near_copies(spark, monkeypatch):
         texts.append((7, 1000 + i, i, " ".join(w)))
     got = {x.node for x in near.staying(spark.createDataFrame(texts, near._TEXTS)).collect()}
     assert got == {x[1] for x in near.decide(texts, [])} and 2 < len(got) < 30
+
+
+def test_near_copies_tell_rows_of_one_doc_id_apart(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, "red fish blue fish one two three"), (1, "a wholly different text of seven words"), (1, "RED fish blue fish one two three"), (None, "no id but the same words twice"), (None, "no id but the same words twice"), (None, "another text without id")]
+    got = c.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DIR).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == sorted({(i or 0, t.lower()) for i, t in rows})
