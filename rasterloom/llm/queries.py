@@ -21,34 +21,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_deleted")
 
 
-#: The same rule, read off the lines themselves: runs of one to three lines as text.
+#: The same rule, read off the lines themselves: of each line the shortest runs on and back with 20 words, as text.
 OP2_SQL = r"""
-WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS units FROM documents),
-raw AS (SELECT doc_id, generate_subscripts(units, 1) - 1 AS i, unnest(units) AS line FROM split),
-l AS (
-  SELECT doc_id, i, rtrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM raw),
-x AS (
-  SELECT *, lead(line) OVER d AS line1, lead(line, 2) OVER d AS line2, lead(w) OVER d AS w1, lead(w, 2) OVER d AS w2,
-         lag(w) OVER d AS v1, lag(w, 2) OVER d AS v2
-  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-m AS (
-  SELECT doc_id, i AS start, CASE WHEN w >= 3 THEN 1 WHEN w + w1 >= 3 THEN 2 WHEN w + w1 + w2 >= 3 THEN 3 END AS n FROM x
-  UNION
-  SELECT doc_id, i - n + 1, n FROM (
-    SELECT doc_id, i, CASE WHEN w >= 3 THEN 1 WHEN w + v1 >= 3 THEN 2 WHEN w + v1 + v2 >= 3 THEN 3 END AS n FROM x) WHERE n IS NOT NULL),
+WITH split AS (
+  SELECT doc_id, text,
+         string_split(regexp_replace(text, '\n([\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])', chr(57344) || '\1', 'g'), chr(57344)) AS units
+  FROM documents),
+listed AS (
+  SELECT doc_id, list_transform(units, lambda u: rtrim(u, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lines,
+         list_transform(units, lambda u: len(regexp_extract_all(u, '[^\x20\x09-\x0D]+'))) AS w
+  FROM split),
+summed AS (SELECT *, list_transform(range(1, len(w) + 1), lambda i: list_sum(w[1:i])) AS up FROM listed),
+l AS (SELECT doc_id, lines, w, up, unnest(range(1, len(w) + 1)) AS i FROM summed),
+spans AS (
+  SELECT doc_id, lines, i AS a, CAST(len(list_filter(up, lambda x: x - up[i] + w[i] < 20)) + 1 AS BIGINT) AS b FROM l WHERE w[i] > 0
+  UNION ALL
+  SELECT doc_id, lines, CAST(len(list_filter(up, lambda x: up[i] - x >= 20)) + 1 AS BIGINT) AS a, i AS b FROM l WHERE up[i] >= 20),
 r AS (
-  SELECT m.doc_id, m.start, m.n, CASE m.n WHEN 1 THEN x.line WHEN 2 THEN x.line || chr(10) || x.line1
-         ELSE x.line || chr(10) || x.line1 || chr(10) || x.line2 END AS run
-  FROM m JOIN x ON x.doc_id = m.doc_id AND x.i = m.start WHERE m.n IS NOT NULL),
-o AS (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, start) AS k FROM r),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + n - 1)) AS i FROM o WHERE k > 1),
-kept AS (
-  SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.i) AS text
-  FROM raw ANTI JOIN gone ON raw.doc_id = gone.doc_id AND raw.i = gone.i GROUP BY raw.doc_id),
-n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT split.doc_id, coalesce(kept.text, '') AS text, CAST(len(units) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_deleted
-FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+  SELECT DISTINCT doc_id, a, b, array_to_string(lines[a:b], chr(10)) AS run FROM spans WHERE b <= len(lines)),
+o AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY b - a, run ORDER BY doc_id, a) AS k FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS i FROM o WHERE k > 1),
+lost AS (SELECT doc_id, list(i) AS cut, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT split.doc_id,
+       CASE WHEN cut IS NULL THEN text
+            ELSE array_to_string(list_filter(units, lambda u, i: NOT list_contains(cut, i)), chr(10)) END AS text,
+       CAST(coalesce(len(units), 0) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_deleted
+FROM split LEFT JOIN lost USING (doc_id)
 """
 
 

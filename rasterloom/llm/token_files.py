@@ -1,10 +1,12 @@
 """Token files: ids of many documents concatenated, with document ends as an Elias-Fano sequence.
 
-A file (one shard) is: magic, version, id width in bytes, number of documents and of ids, number of low bits;
-document ids; low bits of the ends, packed; high bits as unary gaps; ids. Ends are non-decreasing numbers up to
-n_tokens: each keeps its floor(log2(n_tokens / n_docs)) low bits packed and its high part as a one in a bit
-vector of at most 2 n_docs bits, so a boundary costs about 2 + log2(mean length) bits instead of 64. select(i)
-finds the i-th one through samples (ones before every 512-bit block).
+A file (one shard) is: magic, version, id width in bytes, number of documents and of ids; null document ids as a bit
+vector; document ids less the least, and ends of documents, each as its number of low bits, the packed low bits, and
+the high bits as unary gaps; ids. Ends are non-decreasing numbers up to n_tokens: each keeps its
+floor(log2(n_tokens / n_docs)) low bits packed and its high part as a one in a bit vector of at most 2 n_docs bits, so a
+boundary costs about 2 + log2(mean length) bits instead of 64; sorted document ids likewise (ids in no order, or over
+2^62 apart, stay a table). select(i) finds the i-th one through samples (ones before every 512-bit block), and
+span(lo, hi) reads a run of values from there.
 
 Executors cannot in general open files in the cluster's store from Python, so a shard is one binary cell of a
 Parquet table that Spark writes and reads: that keeps Spark's commit protocol and any file system.
@@ -17,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import small_batches
 from rasterloom.llm.tokens import Encoder, tokenizer_path
+from rasterloom.operators.ranking import prefix_before
 from rasterloom.session import materialize
 
 #: Fixed values of the format.
-MAGIC, VERSION, HEADER = b"RLTK", 1, "<4sHHQQQ"
+MAGIC, VERSION, HEADER = b"RLTK", 2, "<4sHHQQ"
+#: Low bits, bytes of low and of high bits of an Elias-Fano sequence; so many low bits say that it is a table.
+PART, TABLE = "<BQQ", 255
 #: Ids in a shard, at most, unless one document alone has more.
 SHARD_TOKENS = 2_000_000
 #: The largest documents column a writer holds: rows come sorted, so this only bounds shards of empty documents.
@@ -37,7 +42,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        per_block = np.add.reduceat(np.unpackbits(high).astype(np.int64), np.arange(0, high.size * 8, 512)) if high.size else np.zeros(0, np.int64)
+        per_block = np.bitwise_count(np.pad(high, (0, -high.size % 64))).reshape(-1, 64).sum(axis=1, dtype=np.int64)
         self.before = np.concatenate([[0], np.cumsum(per_block)])
 
     @classmethod
@@ -64,12 +69,40 @@ class EliasFano:
         bits = np.unpackbits(self.low[a // 8 : -(-(a + self.low_bits) // 8)])[a % 8 : a % 8 + self.low_bits]
         return int((bits.astype(np.int64) << np.arange(self.low_bits)).sum())
 
-    def values(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high))[: self.n] - np.arange(self.n)
+    def span(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo to hi - 1, decoding only the blocks that hold them."""
+        if lo >= hi:
+            return np.zeros(0, np.int64)
+        first, last = (np.searchsorted(self.before, [lo, hi - 1], "right") - 1).tolist()
+        ones = np.flatnonzero(np.unpackbits(self.high[first * 64 : last * 64 + 64]))
+        skip = lo - int(self.before[first])
+        high = ones[skip : skip + hi - lo] + first * 512 - np.arange(lo, hi)
         if not self.low_bits:
             return high.astype(np.int64)
-        low = np.unpackbits(self.low, count=self.n * self.low_bits).reshape(self.n, self.low_bits).astype(np.int64)
-        return (high.astype(np.int64) << self.low_bits) | (low << np.arange(self.low_bits)[None, :]).sum(axis=1)
+        a, n = lo * self.low_bits, (hi - lo) * self.low_bits
+        bits = np.unpackbits(self.low[a // 8 : -(-(a + n) // 8)])[a % 8 : a % 8 + n].reshape(hi - lo, self.low_bits).astype(np.int64)
+        return (high.astype(np.int64) << self.low_bits) | (bits << np.arange(self.low_bits)[None, :]).sum(axis=1)
+
+    def values(self) -> np.ndarray:
+        return self.span(0, self.n)
+
+    def parts(self) -> list[bytes]:
+        return [struct.pack(PART, self.low_bits, self.low.size, self.high.size), self.low.tobytes(), self.high.tobytes()]
+
+
+def _names(doc_ids: list[int | None]) -> list[bytes]:
+    """Null bits and the ids: null ids repeat the id before them."""
+    null = np.packbits(np.array([x is None for x in doc_ids], np.uint8))
+    least = min((x for x in doc_ids if x is not None), default=0)
+    filled, last = [], least
+    for x in doc_ids:
+        last = last if x is None else x
+        filled.append(last)
+    if all(a <= b for a, b in zip(filled, filled[1:], strict=False)) and last - least < 1 << 62:
+        body = EliasFano.build(np.array([x - least for x in filled], np.int64)).parts()
+    else:
+        body = [struct.pack(PART, TABLE, 8 * len(filled), 0), np.array(filled, "<i8").tobytes()]
+    return [null.tobytes(), struct.pack("<q", least), *body]
 
 
 def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
@@ -77,23 +110,18 @@ def write_shard(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     flat = np.frombuffer(b"".join(ids), "<u4")
     ends = EliasFano.build(np.cumsum([len(x) // 4 for x in ids]))
     width = 2 if not flat.size or int(flat.max()) < 1 << 16 else 4
-    null = np.packbits(np.array([x is None for x in doc_ids], np.uint8))
-    names = np.array([x or 0 for x in doc_ids], "<i8")
-    head = struct.pack(HEADER, MAGIC, VERSION, width, len(ids), flat.size, ends.low_bits)
-    sizes = struct.pack("<QQ", ends.low.size, ends.high.size)
-    return b"".join([head, sizes, null.tobytes(), names.tobytes(), ends.low.tobytes(), ends.high.tobytes(), flat.astype(f"<u{width}").tobytes()])
+    head = struct.pack(HEADER, MAGIC, VERSION, width, len(ids), flat.size)
+    return b"".join([head, *_names(doc_ids), *ends.parts(), flat.astype(f"<u{width}").tobytes()])
 
 
 class Shard:
     """Random access to a file: ids(i) of the i-th document, without decoding the others."""
 
     def __init__(self, data: bytes):
-        magic, version, width, self.n_docs, self.n_tokens, low_bits = struct.unpack_from(HEADER, data)
+        magic, version, width, self.n_docs, self.n_tokens = struct.unpack_from(HEADER, data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file of this version")
         at = struct.calcsize(HEADER)
-        n_low, n_high = struct.unpack_from("<QQ", data, at)
-        at += 16
         view = np.frombuffer(data, np.uint8)
 
         def take(size: int) -> np.ndarray:
@@ -102,7 +130,11 @@ class Shard:
             return view[at - size : at]
 
         null = np.unpackbits(take(-(-self.n_docs // 8)), count=self.n_docs).astype(bool)
-        self.doc_ids = [None if n else int(x) for x, n in zip(take(8 * self.n_docs).view("<i8"), null, strict=True)]
+        (least,) = struct.unpack("<q", take(8).tobytes())
+        low_bits, n_low, n_high = struct.unpack(PART, take(struct.calcsize(PART)).tobytes())
+        names = take(n_low).view("<i8") if low_bits == TABLE else EliasFano(self.n_docs, low_bits, take(n_low), take(n_high)).values() + least
+        self.doc_ids = [None if n else int(x) for x, n in zip(names, null, strict=True)]
+        low_bits, n_low, n_high = struct.unpack(PART, take(struct.calcsize(PART)).tobytes())
         self.ends = EliasFano(self.n_docs, low_bits, take(n_low), take(n_high))
         self.flat = take(width * self.n_tokens).tobytes()
         self.width = width
@@ -121,8 +153,9 @@ class Shard:
 def write_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 1, tokenizer: str | None = None, kind: str = "word") -> DataFrame:
     """Encode every whole text, append end_id, and write shards in ascending key order: part, shard, n_docs, n_tokens, data.
 
-    Null texts count as empty; null keys come first; repeated keys stay as rows of their own; an empty table gives
-    no shard; further columns are ignored. Texts are dealt by ranges of the key, so no task holds more than its share.
+    Null texts count as empty; null keys come first; repeated keys stay as rows of their own, in the order of a hash of
+    their texts (null before others), so reruns agree; an empty table gives no shard; further columns are ignored. Texts are
+    dealt by ranges of key and hash, so no task holds more than its share.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,7 +183,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id",
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ranged = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "_tie"]
+    ranged = slim.withColumn("_tie", F.xxhash64("text") + F.col("text").isNotNull().cast("long")).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_tie")
     made = ranged.mapInArrow(run, "part int, shard long, n_docs long, n_tokens long, data binary")
     if path is None:
         return materialize(made, "token-shards")
@@ -160,25 +194,27 @@ def write_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id",
 
 def read_shards(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, firsts), from the files alone. documents: part, shard, doc_id, inside, n_tokens, ids (little-endian
-    unsigned 32-bit, binary), inside being the offset in the shard's ids, from its Elias-Fano sequence. firsts: part,
+    unsigned 32-bit, binary), inside being the offset in the shard's ids, found by select. firsts: part,
     shard, first: the ids in all shards before (one small row for each shard of some 2 million ids).
     """
     small_batches(shards.sparkSession, 4)
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = shards.select("part", "shard", "n_tokens").withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long")).drop("n_tokens")
+    sizes = shards.select("part", "shard", "n_tokens", F.lit(0).alias("_all"))
+    first = prefix_before(sizes, ["_all"], "part", ["shard"], F.col("n_tokens"), "first").select("part", "shard", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, number, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(data)
-                ends = shard.ends.values()
-                starts = np.concatenate([[0], ends[:-1]])
-                flat = shard.all_ids().astype("<u4")
+                flat = shard.all_ids()
                 for lo in range(0, shard.n_docs, 1000):
                     hi = min(lo + 1000, shard.n_docs)
-                    ids = [flat[x:y].tobytes() for x, y in zip(starts[lo:hi], ends[lo:hi], strict=True)]
+                    begin = shard.ends.select(lo - 1) if lo else 0
+                    ends = shard.ends.span(lo, hi)
+                    starts = np.concatenate([[begin], ends[:-1]])
+                    run_ids = flat[begin : ends[-1]].astype("<u4").tobytes()
+                    ids = [run_ids[4 * (x - begin) : 4 * (y - begin)] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
                     yield pa.record_batch(
-                        [pa.array([part] * (hi - lo), pa.int32()), pa.array([number] * (hi - lo), pa.int64()), pa.array(shard.doc_ids[lo:hi], pa.int64()), pa.array(starts[lo:hi], pa.int64()), pa.array((ends - starts)[lo:hi], pa.int64()), pa.array(ids, pa.binary())],
+                        [pa.array([part] * (hi - lo), pa.int32()), pa.array([number] * (hi - lo), pa.int64()), pa.array(shard.doc_ids[lo:hi], pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(ids, pa.binary())],
                         names=["part", "shard", "doc_id", "inside", "n_tokens", "ids"],
                     )
 
@@ -191,7 +227,6 @@ def with_starts(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     return documents.join(firsts, ["part", "shard"]).withColumn("start", F.col("first") + F.col("inside")).drop("first", "inside", "part", "shard")
 
 
-
 def read_tokens(shards: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids, start of every document."""
     return with_starts(*read_shards(shards))

@@ -1,10 +1,10 @@
 """Fast exact encoding with the tokenizers library: each distinct white-space chunk is encoded once per worker.
 
 Both kinds of tokenizer used here split texts before merging, and a split never joins characters across these
-cuts: before a single space between non-space characters (byte-level), or at any white space (word-level, which
-drops it); and between Latin letters and the punctuation after them. A text with other spacing is encoded whole.
-Letters go straight to the library's merge model, anything else through its whole pipeline. Results equal encode()
-of the whole text.
+cuts: before a single space, and around a single line feed, that stand between characters that are no white space
+(byte-level), or at any white space (word-level, which drops it); and between Latin letters and the punctuation
+after them. A text with other spacing is encoded whole. Letters go straight to the library's merge model, anything
+else through its whole pipeline. Results equal encode() of the whole text.
 """
 
 from __future__ import annotations
@@ -12,13 +12,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Sequence
-
-import numpy as np
+from collections.abc import Callable, Sequence
 
 #: Chunks in each of the two generations that a worker remembers: together about 250 MB.
 REMEMBER = 500_000
-_ODD_SPACE = re.compile(r"\s | \s")
+_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 _ODD_WORD = re.compile("[\x1c-\x1f]")
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: ASCII punctuation but for the apostrophe, which can begin a contraction.
@@ -33,6 +31,25 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class _Chunks(dict):
+    """chunk -> ids, learned when first asked for. before: the generation that was held until this one began."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.before.get(chunk)) is None:
+            ids = self.learn(chunk)
+        self[chunk] = ids
+        return ids
+
+    def trim(self, most: int) -> None:
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit bytes. kind: byte or word."""
 
@@ -43,10 +60,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.shown = {c: "".join(chr(alphabet[x]) for x in chr(c).encode()) for c in [32, *range(0xC0, 0x100)]}
         self.kind = kind
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.bare, self.spaced, self.tails = _Chunks(lambda c: self._learn("", c)), _Chunks(lambda c: self._learn(" ", c)), _Chunks(self._whole)
+        self.feed = self._whole("\n") if kind == "byte" else b""
 
     @classmethod
     def shared(cls, path: str, kind: str) -> Encoder:
@@ -55,48 +73,45 @@ class Encoder:
             _LOADED[path, kind] = cls(path, kind)
         return _LOADED[path, kind]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, space: str, chunk: str) -> bytes:
+        """Ids of a chunk with the space before it."""
+        core = chunk.rstrip(_AFTER)
+        if core.isascii():
+            if not core.isalpha():
+                return self._whole(space + chunk) if chunk or space else b""
+            shown = core
+        elif _LETTERS(core):
+            shown = core
+        else:
+            return self._whole(space + chunk)
+        if len(core) < len(chunk):
+            return (self.spaced if space else self.bare)[core] + self.tails[chunk[len(core) :]]
+        if self.kind == "word":
+            shown = shown.lower()
+        if not shown.isascii():
+            shown = shown.translate(self.shown)
+        return array("I", [t.id for t in self.merge("\u0120" + shown if space else shown)]).tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _encode(self, text: str) -> bytes:
         if self.kind == "word":
-            return None if _ODD_WORD.search(text) else text.split()
+            return self._whole(text) if _ODD_WORD.search(text) else b"".join(map(self.bare.__getitem__, text.split()))
         if _ODD_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _letters(self, core: str) -> bytes:
-        shown = (core.lower() if self.kind == "word" else core).encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.merge(shown)]).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        known, before, hard = self.known, self.before, []
-        for chunk in new:
-            if (ids := before.get(chunk)) is not None:
-                known[chunk] = ids
-                continue
-            core = chunk.rstrip(_AFTER)
-            if not _LETTERS(core[1:] if core[:1] == " " else core):
-                hard.append(chunk)
-                continue
-            if (ids := known.get(core)) is None and (ids := before.get(core)) is None:
-                ids = self._letters(core)
-            known[core] = ids
-            if len(core) < len(chunk):
-                tail = chunk[len(core) :]
-                if (end := known.get(tail)) is None:
-                    end = known[tail] = self._plain([tail])[0]
-                known[chunk] = ids + end
-        known.update(zip(hard, self._plain(hard), strict=True))
+            return self._whole(text)
+        parts, spaced = [], self.spaced.__getitem__
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            parts.append(self.feed)
+            parts.append(self.bare[first])
+            parts += map(spaced, rest)
+        return b"".join(parts[1:])
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        split = [self._chunks(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
-            self.before, self.known = self.known, {}
-        self._learn(set().union(*[c for c in split if c]).difference(self.known))
-        get = self.known.__getitem__
-        return [self._plain([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, split, strict=True)]
+        for held in (self.bare, self.spaced, self.tails):
+            held.trim(REMEMBER)
+        return [self._encode(t) if t else b"" for t in texts]
 
 
 def tokenizer_path(name: str) -> str:

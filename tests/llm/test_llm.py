@@ -138,8 +138,62 @@ def test_line_dedup_equals_brute_force(spark, least):
     assert [got[i].text for i, _ in items] == brute_dedup(items, least)
 
 
+@pytest.mark.parametrize("least", [1, 5, 20])
+def test_maximal_runs(spark, least):
+    """Long runs, many lines deep: every run equals its first place, and together they are what dedup deletes."""
+    r = random.Random(least)
+    tale = [f"w{r.randint(0, 3)}" for _ in range(120)]
+    items = []
+    for i in range(50):
+        a, b = sorted(r.sample(range(121), 2))
+        items.append((i, "\n".join([*(f"own{i}x{k}" for k in range(r.randint(0, 3))), *tale[a:b], *(f"w{r.randint(0, 3)}" for _ in range(5))])))
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    lines = {i: t.split("\n") for i, t in items}
+    runs = line_dedup.maximal_runs(line_dedup.repeated_runs(docs, min_words=least)).collect()
+    gone = {}
+    for x in runs:
+        mine, other = lines[x.doc_id][x.start : x.start + x.lines], lines[x["first"].doc_id][x["first"].at : x["first"].at + x.lines]
+        assert mine == other and len(mine) == x.lines >= least and (x["first"].doc_id, x["first"].at) < (x.doc_id, x.start)
+        gone.setdefault(x.doc_id, set()).update(range(x.start, x.start + x.lines))
+    first = {}
+    want = {i: set() for i, _ in items}
+    for i, t in items:
+        for a in range(len(lines[i])):
+            for b in range(a + least, len(lines[i]) + 1):
+                if first.setdefault(tuple(lines[i][a:b]), (i, a)) < (i, a):
+                    want[i] |= set(range(a, b))
+    assert {i: gone.get(i, set()) for i in want} == want
+    got = {x.doc_id: x.text for x in line_dedup.dedup(docs, min_words=least).collect()}
+    assert got == {i: "\n".join(u for k, u in enumerate(lines[i]) if k not in want[i]) for i, _ in items}
+
+
+def test_line_dedup_equals_its_sql_with_blank_lines_nulls_and_repeats(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    r = random.Random(8)
+    para = ["one two three four five six seven", "a b", "word " * 22 + "end", "x", "eight nine ten eleven twelve thirteen"]
+    items = [(i, r.choice(["", "\n", " \n\t\n"]) + "".join(r.choice(para) + r.choice(["\n", "\n\n", " \n \n\n", "\n"]) for _ in range(r.randint(0, 12)))) for i in range(150)] + [(150, None), (151, ""), (152, "\n\n"), (153, " ")]
+    df = spark.createDataFrame(items, "doc_id long, text string")
+    con = duckdb.connect()
+    frame = df.toPandas()
+    con.register("documents", frame)
+    want = con.execute(queries.OP2_SQL).df()
+    got = line_dedup.dedup(df).toPandas()
+    key = lambda f: sorted((int(x.doc_id), x.text, int(x.n_lines), int(x.n_deleted)) for x in f.itertuples())
+    assert key(got) == key(want) and sum(got.n_deleted) > 50
+
+
+def test_blank_lines_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "a b\n" + "\n" * 1_000_000 + "c d"), (2, "a b\n" + " \n" * 400_000 + "c d")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_deleted) for r in line_dedup.dedup(df, min_words=2).collect()}
+    assert got == {1: (2, 0), 2: (2, 2)} and time.time() - began < 60
+
+
 def test_line_dedup_edges(spark, odd):
-    out = line_dedup.dedup(odd)
+    out = line_dedup.dedup(odd, min_words=3)
     assert sorted(out.columns) == sorted([*odd.columns, "n_lines", "n_deleted"])
     got = {r.doc_id: r for r in out.collect()}
     assert got[2].text is None and got[2].n_lines == 0 and got[3].text == "" and got[6].n_deleted == 2 and got[6].text == ""
@@ -159,6 +213,8 @@ def test_elias_fano(gaps):
     ef = token_files.EliasFano.build(values)
     assert np.array_equal(ef.values(), values)
     assert [ef.select(i) for i in range(len(gaps))] == values.tolist()
+    for lo in range(0, len(gaps), 37):
+        assert np.array_equal(ef.span(lo, min(lo + 50, len(gaps))), values[lo : lo + 50])
 
 
 def test_shard_round_trip():
@@ -169,20 +225,37 @@ def test_shard_round_trip():
         assert all(np.array_equal(shard.ids(i), x + top) for i, x in enumerate(ids))
     with pytest.raises(ValueError):
         token_files.Shard(b"x" * 64)
+    for names in ([None, None, -(2**62), 5, 5, 9], [-(2**63), 2**63 - 1], [], [None], list(range(-4000, 9000, 7))):
+        assert token_files.Shard(token_files.write_shard(names, [b"\1\0\0\0"] * len(names))).doc_ids == names
+    sorted_ids, table = list(range(0, 50_000, 5)), 8 * 10_000
+    assert sum(map(len, token_files._names(sorted_ids))) < table / 10
+
+
+def test_token_files_order_rows_of_one_id(spark):
+    """Rows that share an id lie in the order of their texts' hash, however they came."""
+    items = [(5, f"text number {i} " * (i + 1)) for i in range(30)] + [(5, None), (2, "x")]
+    starts = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(items)
+        df = spark.createDataFrame(items, "doc_id long, text string").repartition(1 + seed)
+        got = token_files.read_tokens(token_files.write_tokens(df)).collect()
+        starts.append(sorted((r.start, r.n_tokens, bytes(r.ids)) for r in got))
+    assert starts[0] == starts[1]
+    assert [s for s, _, _ in starts[0]] == np.cumsum([0] + [n for _, n, _ in starts[0]])[:-1].tolist()
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_chunked_encoding_is_exact(name, kind, rows):
     e = tokens.Encoder(tokens.tokenizer_path(name), kind)
     texts = [r.text for r in rows.values()][:80] + [x[1] for x in ODD] + ["a  b", "a\n b", "don't  stop", "DON'T stop's", "x\x1cy z", "İstanbul ß é̂", "<|endoftext|> a", " lead", "trail ", "a b", "straße'll go!", "ÀÉ!!! ÿ...", "foo's,"]
-    assert e.encode(texts) == [e._plain([t])[0] if t else b"" for t in texts]
+    assert e.encode(texts) == [e._whole(t) if t else b"" for t in texts]
 
 
 def test_token_files(spark, odd, rows):
     got = {r.doc_id: r for r in queries.op3_token_files(spark, DIR).collect()}
     e, start = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), "word"), 0
     for i in sorted(rows):
-        ids = e._plain([rows[i].text])[0] + b"\1\0\0\0"
+        ids = e._whole(rows[i].text) + b"\1\0\0\0"
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
     out = token_files.read_tokens(token_files.write_tokens(odd)).collect()
@@ -264,12 +337,12 @@ def test_packing(spark, odd, rows):
     e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"), "byte")
     seqs, total = {}, 0
     for r in got:
-        ids = e._plain([rows[r.doc_id].text])[0] + b"\1\0\0\0"
+        ids = e._whole(rows[r.doc_id].text) + b"\1\0\0\0"
         mine = ids[4 * r.start : 4 * (r.start + r.length)]
         assert zlib.crc32(mine) == r.ids_crc32 and r.doc_tokens == len(ids) // 4
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
         total += r.length
-    assert total == sum(len(e._plain([r.text])[0]) // 4 + 1 for r in rows.values())
+    assert total == sum(len(e._whole(r.text)) // 4 + 1 for r in rows.values())
     for pieces in seqs.values():
         at = 0
         for offset, length in sorted(pieces):
