@@ -3,7 +3,7 @@
 A small lenient parser builds the block structure of a page. Every block element gets features of its tag, its
 class and id tokens, its depth and siblings, and of its subtree (text, links, tags, sentences). A boosted-tree
 model, trained here on generated pages with known answers, gives each block the log-odds of belonging to the
-article. Decoding is hierarchical: a block is kept only if all its ancestors are, and the set of kept blocks is
+article. Text that stands in the page or body itself is a block of its own there, tagged #text. Decoding is hierarchical: a block is kept only if all its ancestors are, and the set of kept blocks is
 the one with the greatest sum of log-odds under that rule, found bottom-up; so no ancestor contradicts a descendant.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +39,10 @@ IMPLIED = {
     "head": frozenset(["body"]),
 }
 WALLS = frozenset("table td th ul ol dl select html body".split())
+#: Elements whose own text is dealt to #text blocks.
+LOOSE = frozenset(["#page", "html", "body"])
+#: Which open elements a beginning block ends.
+_ENDED = {name: tuple(x for x, by in IMPLIED.items() if name in by) for name in BLOCKS}
 #: Word lists of the features: what attribute tokens suggest.
 GOOD = frozenset("article content main post story entry body text page prose blog news copy hentry maincontent articlebody".split())
 BAD = {
@@ -50,12 +55,13 @@ BAD = {
     "talk": frozenset("comment comments reply replies discussion disqus respond thread commentlist".split()),
     "form": frozenset("form search login share sharing social follow rating poll".split()),
 }
-TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "body"]
+TAGS = ["article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "body", "#text"]
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_LEGAL = re.compile("\u00a9|&copy;|copyright|rights reserved", re.IGNORECASE)
 #: Where raw text ends, found in the source itself: lower-casing can lengthen a text.
 _RAW_END = {name: re.compile("</" + name, re.IGNORECASE | re.ASCII) for name in RAW | {"xmp"}}
 
@@ -63,112 +69,154 @@ _RAW_END = {name: re.compile("</" + name, re.IGNORECASE | re.ASCII) for name in
 class Page:
     """Block elements in page order: tag, attribute tokens, parent, depth; texts: (block, piece) in page order.
 
-    Inline elements belong to the block around them; a piece of None marks where a child block stood, which ends
-    the line of text before it.
+    Inline elements belong to the block around them; a piece of None marks where a child block or a rule stands, which
+    ends the line of text before it.
     """
 
     __slots__ = ("depth", "links", "parent", "tags", "texts", "tokens")
 
     def __init__(self, source: str):
         self.tags, self.tokens, self.parent, self.depth = ["#page"], [()], [-1], [0]
-        self.texts: list[tuple[int, str]] = []
+        self.texts: list[tuple[int, str | None]] = []
         self.links: list[int] = [0]  # characters of text inside links, by block
         self._parse(source)
 
+    def _block(self, name: str, up: int, words: list[str]) -> int:
+        self.tags.append(name)
+        self.tokens.append(tuple(words))
+        self.parent.append(up)
+        self.depth.append(self.depth[up] + 1)
+        self.links.append(0)
+        return len(self.tags) - 1
+
     def _parse(self, source: str) -> None:
-        tags, parent, depth, texts, links = self.tags, self.parent, self.depth, self.texts, self.links
+        tags, texts, links = self.tags, self.texts, self.links
         stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with the block they are in
-        anchors, at, now = 0, 0, 0
+        # how many of each name are open: at all; above the topmost wall; above the topmost block. rows: for each open
+        # table (and the page) where in the stack its open rows and cells are. So no step searches in vain.
+        total, walls, inline, rows, wall = Counter(), [Counter()], [Counter()], [[]], ["#page"]
+        at, now, loose = 0, 0, -1
+
+        def push(name: str, block: int) -> None:
+            total[name] += 1
+            walls[-1][name] += 1
+            if name in BLOCKS:
+                inline.append(Counter())
+            else:
+                inline[-1][name] += 1
+            if name in WALLS:
+                walls.append(Counter())
+                wall.append(name)
+            if name == "table":
+                rows.append([])
+            elif name in ("tr", "td", "th"):
+                rows[-1].append(len(stack))
+            stack.append((name, block))
+
+        def close(down_to: int) -> None:
+            while len(stack) > down_to:
+                name, _ = stack.pop()
+                if name == "table":
+                    rows.pop()
+                elif name in ("tr", "td", "th"):
+                    rows[-1].pop()
+                if name in WALLS:
+                    walls.pop()
+                    wall.pop()
+                if name in BLOCKS:
+                    inline.pop()
+                else:
+                    inline[-1][name] -= 1
+                walls[-1][name] -= 1
+                total[name] -= 1
+
+        def topmost(names: tuple[str, ...]) -> int:
+            i = len(stack) - 1
+            while stack[i][0] not in names:
+                i -= 1
+            return i
+
+        def say(text: str) -> None:
+            nonlocal loose
+            to = now
+            if tags[now] in LOOSE:
+                if loose < 0 and not text.isspace():
+                    loose = self._block("#text", now, [])
+                to = loose if loose >= 0 else now
+            texts.append((to, text))
+            if total["a"]:
+                links[to] += len(text)
+
         for m in iter(lambda: _TAG.search(source, at), None):
             if m.start() > at:
-                text = source[at : m.start()]
-                texts.append((now, text))
-                if anchors:
-                    links[now] += len(text)
+                say(source[at : m.start()])
             at = m.end()
             name = m[2] or m[5]
             if not name:
                 continue
             name = name.lower()
             if m[1] or m[4]:
-                if name == "br" or name == "p" and all(t != "p" for t, _ in stack):
-                    continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        anchors -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if name not in BLOCKS and stack[i][0] in BLOCKS:
-                        break  # an inline end tag does not close a block
-                now = stack[-1][1]
+                found = total[name] if name in BLOCKS else inline[-1][name]
+                if found:
+                    close(topmost((name,)))
+                    now, loose = stack[-1][1], -1 if name in BLOCKS else loose
                 continue
             if name in RAW:
                 if (m[3] or m[6] or "").endswith("/") and name == "svg":
                     continue
                 end = _RAW_END[name].search(source, at)
-                close = source.find(">", end.start()) if end else -1
-                at = len(source) if close < 0 else close + 1
+                last = source.find(">", end.start()) if end else -1
+                at = len(source) if last < 0 else last + 1
                 continue
             if name == "xmp":  # its text has no tags or entities, and is kept
                 end = _RAW_END[name].search(source, at)
-                text = source[at : end.start() if end else len(source)]
-                texts.append((now, html.escape(text, quote=False)))
-                if anchors:
-                    links[now] += len(text)
-                close = source.find(">", end.start()) if end else -1
-                at = len(source) if close < 0 else close + 1
+                if text := source[at : end.start() if end else len(source)]:
+                    say(html.escape(text, quote=False))
+                last = source.find(">", end.start()) if end else -1
+                at = len(source) if last < 0 else last + 1
                 continue
-            if name == "br" or name == "hr" or name == "wbr":
-                if name != "wbr":
-                    texts.append((now, " "))
+            if name == "br":
+                say(" ")
                 continue
+            if name == "hr":
+                texts.append((now, None))
+                loose = -1
             if name in VOID:
                 continue
             if name in BLOCKS:
-                if name in ENDS_P:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == "p":
-                            anchors -= sum(t == "a" for t, _ in stack[i:])
-                            del stack[i:]
-                            break
-                        if stack[i][0] in WALLS:
-                            break
-                for i in range(len(stack) - 1, 0, -1):
-                    if name in IMPLIED.get(stack[i][0], ()):
-                        anchors -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        if name not in ("tr", "tbody", "tfoot"):
-                            break
-                    elif stack[i][0] in WALLS and name not in ("tr", "tbody", "tfoot"):
-                        break
+                if name in ENDS_P and walls[-1]["p"]:
+                    close(topmost(("p",)))
+                if name in ("tr", "tbody", "tfoot"):
+                    if rows[-1]:
+                        close(rows[-1][0])
+                elif wall[-1] in _ENDED[name] or any(walls[-1][x] for x in _ENDED[name]):
+                    close(topmost(_ENDED[name]))
                 up = stack[-1][1]
                 attrs = m[3] or m[6] or ""
                 words: list[str] = []
                 if attrs:
                     for _, value in _ATTR.findall(attrs):
                         words += [w.lower() for w in _TOKEN.findall(value)]
-                tags.append(name)
-                self.tokens.append(tuple(words))
-                parent.append(up)
-                depth.append(depth[up] + 1)
-                links.append(0)
-                now = len(tags) - 1
-                stack.append((name, now))
-            else:
-                stack.append((name, now))
-                anchors += name == "a"
+                now, loose = self._block(name, up, words), -1
+                texts.append((now, None))
+            push(name, now)
         if at < len(source):
-            texts.append((now, source[at:]))
+            say(source[at:])
 
     def features(self) -> np.ndarray:
         n = len(self.tags)
         own = np.zeros((n, 5))  # characters, in links, sentence ends, commas, pieces
+        legal = np.zeros(n)
         for block, text in self.texts:
+            if text is None:
+                continue
             row = own[block]
             row[0] += len(text) - text.count(" ") if not text.isspace() else 0
             row[2] += text.count(". ") + text.count(".\n") + text.rstrip().endswith((".", "!", "?"))
             row[3] += text.count(",")
             row[4] += not text.isspace()
+            if _LEGAL.search(text):
+                legal[block] = 1
         own[:, 1] = self.links
         whole = np.concatenate([own, np.ones((n, 1)), np.array([[t == "p", t == "li", t in ("form", "button", "select", "label")] for t in self.tags], float)], axis=1)
         kids = np.zeros((n, 3))  # children, children of the same tag as the last, children's paragraphs
@@ -207,7 +255,7 @@ class Page:
         columns = [
             np.log1p(own[:, 0]), np.log1p(text), text / total, whole[:, 1] / np.maximum(1, text), own[:, 1] / np.maximum(1, own[:, 0]),
             np.log1p(whole[:, 2]), whole[:, 3] / np.maximum(1, text) * 100, text / whole[:, 5], np.log1p(whole[:, 5]), np.log1p(whole[:, 6]), np.log1p(whole[:, 7]), whole[:, 8],
-            np.array(self.depth), index, index / np.maximum(1, siblings), siblings, same, kids[:, 0], kids[np.maximum(self.parent, 0), 2], np.arange(n) / n,
+            np.array(self.depth), index, index / np.maximum(1, siblings), siblings, same, kids[:, 0], kids[np.maximum(self.parent, 0), 2], np.arange(n) / n, legal,
         ]
         return np.concatenate([np.stack(columns, axis=1), hints, inherited, tag], axis=1)
 
@@ -228,10 +276,10 @@ class Page:
         """Text of kept blocks: one line per run of text that no block boundary divides."""
         lines, run, last = [], [], -1
         for block, piece in self.texts:
-            if block != last:
+            if block != last or piece is None:
                 lines.append("".join(run))
                 run, last = [], block
-            if keep[block]:
+            if keep[block] and piece is not None:
                 run.append(piece)
         lines.append("".join(run))
         clean = (_SPACE.sub(" ", html.unescape(x)).strip() for x in lines if x)
@@ -331,6 +379,25 @@ def generated_page(seed: int) -> tuple[str, set[int]]:
     def listing(content: bool = False) -> str:
         return el(r.choice(["ul", "ul", "ol"]), lambda: "".join(el("li", prose(1, 2) if content else link(), content, close=r.random() < 0.8) for _ in range(r.randint(2, 9))), content)
 
+    def loose(inner: str, content: bool) -> str:
+        """Text without an element of its own."""
+        nonlocal count
+        if content:
+            good.add(count)
+        count += 1
+        return f"<!--k{count - 1}-->{inner}"
+
+    def bare() -> str:
+        """Furniture that no attribute gives away."""
+        k = r.random()
+        if k < 0.4:
+            text = r.choice(["&copy; 2021 ", "Copyright 2020 ", "\u00a9 2019 "]) + words(r.randint(0, 4)) + r.choice(["", " All rights reserved."])
+        elif k < 0.7:
+            text = " ".join(link(1) for _ in range(r.randint(2, 7)))
+        else:
+            text = " ".join(words(1).capitalize() for _ in range(r.randint(1, 6)))
+        return loose(text, False) if r.random() < 0.5 else el(r.choice(["div", "div", "p"]) if k < 0.4 else "div", text, False)
+
     def junk(kind: str) -> str:
         if kind == "nav":
             return el(r.choice(["nav", "nav", "div"]), listing, False, ' class="menu"' if r.random() < 0.6 else ' role="navigation"')
@@ -374,7 +441,11 @@ def generated_page(seed: int) -> tuple[str, set[int]]:
 
     def wrapped() -> str:
         kind = r.random()
-        if kind < 0.5:
+        if kind < 0.08:
+            return article()
+        if kind < 0.12:
+            return "".join(loose(prose(2, 7), True) + (el("p", prose(2, 7), True) if r.random() < 0.6 else "<hr>") for _ in range(r.randint(1, 3)))
+        if kind < 0.55:
             body = lambda: el("article", article, True, cls("post", "article", "entry") if r.random() < 0.4 else "")
         elif kind < 0.7:
             body = lambda: el("main", article, True, cls("content", "main") if r.random() < 0.5 else "")
@@ -387,6 +458,10 @@ def generated_page(seed: int) -> tuple[str, set[int]]:
         r.shuffle(top)
         mid = wrapped()
         low = [junk(k) for k in ("comments", "aside", "ad", "nav", "form", "footer") if r.random() < 0.45]
+        if r.random() < 0.3:
+            top.insert(0, bare())
+        if r.random() < 0.3:
+            low.append(bare())
         return "".join(top) + mid + "".join(low)
 
     # marks follow the page order only if inner parts are made after their element's mark is drawn, as el() does
@@ -394,16 +469,16 @@ def generated_page(seed: int) -> tuple[str, set[int]]:
     return f"<!DOCTYPE html><html>{head}" + el("body", body, True) + "</html>", good
 
 
-_MARK = re.compile(r'<([a-z][a-z0-9]*) data-k="(\d+)"')
+_MARK = re.compile(r'<(?:[a-z][a-z0-9]* data-k="|!--k)(\d+)')
 
 
-def training_set(pages: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def training_set(pages: int = 900) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and weights of the blocks of generated pages."""
     xs, ys, ws = [], [], []
     for seed in range(pages):
         source, good = generated_page(seed)
         page = Page(source)
-        marks = [int(k) for _, k in _MARK.findall(source)]
+        marks = [int(k) for k in _MARK.findall(source)]
         blocks = [i for i, t in enumerate(page.tags) if t not in ("#page", "html", "head")]
         assert len(marks) == len(blocks), (seed, len(marks), len(blocks))
         xs.append(page.features()[blocks])
@@ -424,7 +499,7 @@ def main_texts(sources: list[str | None], trees: Trees) -> list[str]:
     out, at = [], 0
     for p, n in zip(pages, sizes, strict=True):
         mine = odds[at : at + n]
-        mine = np.where([t in ("html", "body") for t in p.tags], 0.01, np.where([t == "head" for t in p.tags], -9.0, mine))
+        mine = np.where([t in LOOSE for t in p.tags], 0.01, np.where([t == "head" for t in p.tags], -9.0, mine))
         out.append(p.text(p.decode(mine)))
         at += n
     return out
@@ -433,8 +508,8 @@ def main_texts(sources: list[str | None], trees: Trees) -> list[str]:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of every whole page.
 
-    A null or empty page, or one without an article, has the empty text. Texts that stand directly in the page or
-    body count as kept with it. Repeated rows stay; null keys and urls are kept; further columns are ignored; an
+    A null or empty page, or one without an article, has the empty text. Text that stands directly in the page or body
+    is judged as a block of its own. Repeated rows stay; null keys and urls are kept; further columns are ignored; an
     empty table gives an empty result.
     """
     spark = pages.sparkSession

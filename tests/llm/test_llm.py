@@ -363,7 +363,7 @@ def test_trees_on_fresh_pages():
     for seed in range(9000, 9060):
         source, good = html_extract.generated_page(seed)
         page = html_extract.Page(source)
-        marks = [int(k) for _, k in html_extract._MARK.findall(source)]
+        marks = [int(k) for k in html_extract._MARK.findall(source)]
         blocks = [i for i, t in enumerate(page.tags) if t not in ("#page", "html", "head")]
         keep = page.decode(trees.odds(page.features()))
         right += [k in good for k in marks] == [bool(keep[i]) for i in blocks]
@@ -389,6 +389,29 @@ def test_pages(spark):
     assert html_extract.extract(edge.limit(0)).count() == 0
 
 
+def test_blocks_divide_lines(spark):
+    """Empty blocks and rules end a line; loose furniture in the body goes; nested tables keep their cells."""
+    text = "This is a sentence of the article, and it goes on for a while. Here is another one."
+    cases = [
+        (f"<article><div>{text}<div></div>{text}</div></article>", f"{text}\n{text}"),
+        (f"<article><p>{text}</p>{text}<figure><img></figure>{text}</article>", f"{text}\n{text}\n{text}"),
+        (f"<article><div>{text}<hr>{text}</div></article>", f"{text}\n{text}"),
+        (f"<body>Menu Home About<p>{text}</p><p>{text}</p><p>{text}</p><div>Copyright 2020</div>", f"{text}\n{text}\n{text}"),
+        (f"<article><p>{text}</p><table><tr><td>{text}<table><tr><td>{text}</td></tr></table>{text}</td></tr></table><p>{text}</p></article>", "\n".join([text] * 5)),
+    ]
+    pages = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+
+
+@pytest.mark.parametrize("unclosed", ["<div>", "<b>", "<table><div>", "<p><table><div>x", "<ul><li><span>", "<b></i>", "<td><div>", "<a href=x>y"])
+def test_unclosed_tags_take_linear_time(unclosed):
+    import time
+
+    began = time.time()
+    page = html_extract.Page(unclosed * 100_000 + "<p>end" + "<p>x</i><td>" * 1000)
+    assert page.texts and time.time() - began < 20
+
+
 def test_raw_elements_end_where_they_end(spark):
     """Letters that grow when lower-cased come before scripts; math and xmp are text of the article."""
     line = "İ" * 30 + " metin."
