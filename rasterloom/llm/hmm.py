@@ -1,15 +1,17 @@
 """Score texts with a hidden Markov language model.
 
-Tokens are lower-cased words and one end per document. A token belongs to one of CLASSES classes (a hash of the
-word; the end has its own), states emit classes, and a class emits its words by their smoothed counts. So what is
-broadcast has a fixed size whatever the vocabulary, and the model is a proper distribution over texts:
+Tokens are lower-cased words and one end per document. States emit classes: each frequent word is a class of its own,
+and all others share classes by a hash; the end has its own. The number of classes grows with the training vocabulary
+(about one for eight distinct words, from 4,096 to 262,144, half of them for single words), and a class emits its words
+by their smoothed counts. So the model is a proper distribution over texts:
 
     P(text) = P_hmm(classes of its tokens) * product over tokens of (c + 0.1) / M_class,
 
 c a token's training count, M_class the sum of (c + 0.1) over the class's training words plus 0.1 for unseen ones.
 Baum-Welch starts from random emissions around the class frequencies, and in each round its counts are summed over
-all training documents: tasks run the scaled forward and backward recursions over segments of SEGMENT tokens and send
-fixed-size tables. Scores run the scaled forward recursion over whole documents.
+all training documents: tasks run the scaled forward and backward recursions over whole documents (keeping the forward
+variables of one stretch of steps at a time, and those before each stretch) and send one table of counts each. Scores
+run the scaled forward recursion over whole documents. Documents are dealt by length, as those of a task step together.
 
 Counts of at most FREQUENT most frequent words are broadcast (fixed size); all others are joined in a shuffle, so
 counts are exact for every word.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,17 @@ from rasterloom.session import materialize
 
 #: Fixed value of the base score's smoothing.
 ADD = 0.1
-STATES, CLASSES, SEGMENT, ROUNDS = 8, 16_384, 128, 15
+STATES, ROUNDS = 8, 15
+#: Bounds of the number of classes, and distinct training words for each class between them.
+LEAST_CLASSES, MOST_CLASSES, WORDS_A_CLASS = 4096, 262_144, 8
 FREQUENT = 100_000
+#: Tokens that a training task reads (fewer if that leaves cores idle); tokens and documents that step together at most
+#: (or one document); tokens whose forward variables are held.
+TASK_TOKENS, TOGETHER, SIDE_BY_SIDE, STRETCH = 16_000_000, 4_000_000, 2048, 1_000_000
 #: Weight, in tokens, of the class frequencies in each state's emissions, and of the mean in each transition row.
 SMOOTH = 200.0
+#: A count that no word reaches.
+NEVER = 1 << 62
 #: Distinct words that a counting task or a word cache holds at once.
 HELD = 400_000
 
@@ -44,19 +54,34 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_class(word: bytes, classes: int = CLASSES) -> int:
-    return 1 + zlib.crc32(word) % (classes - 1)
+class Classes(NamedTuple):
+    """0: end of document; 1 to own: words of their own; the rest: by hash. Words counted `least` times are their own."""
+
+    total: int
+    own: int
+    least: int
+
+    def of(self, word: bytes) -> int:
+        return 1 + self.own + zlib.crc32(word) % (self.total - 1 - self.own)
+
+    def assigned(self, frequent: list[tuple[bytes, int]]) -> list[int]:
+        """The class of each frequent word (word, count)."""
+        out, at = [], 0
+        for w, c in frequent:
+            at += w != b"" and c >= self.least
+            out.append(0 if w == b"" else at if c >= self.least else self.of(w))
+        return out
 
 
 class Codes(dict):
     """word -> index among the frequent words, else -(class + 1), remembered for a bounded number of words."""
 
-    def __init__(self, frequent: list[bytes], classes: int):
+    def __init__(self, frequent: list[bytes], classes: Classes):
         super().__init__((w, i) for i, w in enumerate(frequent))
         self.frequent, self.classes = frequent, classes
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = code = -1 - word_class(word, self.classes)
+        self[word] = code = -1 - self.classes.of(word)
         return code
 
     def trim(self) -> None:
@@ -89,25 +114,36 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """At most FREQUENT words with their counts: those in the highest steps of log2(c) / 16 that fit. A histogram of
-    a few hundred steps picks the step, so tasks send only words that are kept."""
+def frequent_words(counts: DataFrame, types: int) -> tuple[list[tuple[bytes, int]], Classes]:
+    """At most FREQUENT words with their counts: those in the highest steps of log2(c) / 16 that fit; and the classes of a
+    vocabulary of so many types, half of them for the words of the highest steps that fit. A histogram of a few hundred
+    steps picks both, so tasks send only words that are kept."""
     step = F.floor(F.log2("c") * 16).cast("int")
-    steps = sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True)
-    least, total = None, 0
-    for s, n in steps:
-        total += n
-        if total > FREQUENT:
-            break
-        least = s
-    if least is None:
-        return []
-    return sorted((bytes(r["word"]), int(r["c"])) for r in counts.filter(step >= least).collect())
-
-
-def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: str, held_out, classes: int = CLASSES) -> DataFrame:
-    """One row per document: row, doc_id, held_out, n_tokens, the frequent words' part of the sums, class ids
-    (little-endian unsigned 16-bit), and its other words with their counts."""
+    found = counts.groupBy(step.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.col("s").desc()).collect()
+
+    def least(most: int) -> tuple[int, int]:
+        """The lowest count of the highest steps with at most `most` words, and how many words those are."""
+        count, total = NEVER, 0
+        for _, n, lowest in found:
+            if total + n > most:
+                break
+            count, total = lowest, total + n
+        return count, total
+
+    total = min(MOST_CLASSES, max(LEAST_CLASSES, 1 << (types // WORDS_A_CLASS).bit_length()))
+    often, alone = least(FREQUENT)[0], least(min(FREQUENT, total // 2))
+    kept = sorted((bytes(r["word"]), int(r["c"])) for r in counts.filter(F.col("c") >= often).collect())
+    return kept, Classes(total, sum(w != b"" and c >= alone[0] for w, c in kept), alone[0])
+
+
+def kind(classes: int) -> str:
+    """Class ids as stored: little-endian unsigned 16-bit where they fit, else 32-bit."""
+    return "<u2" if classes <= 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: str, held_out, classes: Classes) -> DataFrame:
+    """One row per document: row, doc_id, held_out, n_tokens, the frequent words' part of the sums, class ids (as kind()
+    says), and its other words with their counts."""
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(frequent)
@@ -115,7 +151,7 @@ def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [w for w, _ in held.value]
         logs = np.log10(np.array([c for _, c in held.value], np.float64) + ADD)
-        group = np.array([word_class(w, classes) if w else 0 for w in known], np.int64)
+        group = np.array(classes.assigned(held.value), np.int64)
         codes = Codes(known, classes)
         end = codes[b""] if b"" in codes else None
         for b in batches:
@@ -133,7 +169,7 @@ def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: s
                     log, n = log + float(logs[end]), n + 1
                 else:
                     rest[b""] = 1
-                rows.append((len(w) + 1, log, n, np.append(of, 0).astype("<u2").tobytes(), list(rest.keys()), list(rest.values())))
+                rows.append((len(w) + 1, log, n, np.append(of, 0).astype(kind(classes.total)).tobytes(), list(rest.keys()), list(rest.values())))
             codes.trim()
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
@@ -157,57 +193,77 @@ class Hmm:
         move = np.full((states, states), 0.02) + np.eye(states)
         return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
+    def _forward(self, emit: list[np.ndarray], ids: np.ndarray, off: np.ndarray, a: int, b: int, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions, forward variables (states, tokens) and scales of steps a to b; alpha: the variables of step a - 1.
+        emit: one array a state; its type is that of the results."""
+        kind_, base = emit[0].dtype, off[a]
+        move, start, mine = np.ascontiguousarray(self.move.T, kind_), self.start.astype(kind_)[:, None], ids[base : off[b]]
+        seen = np.empty((len(emit), len(mine)), kind_)
+        for row, table in zip(seen, emit, strict=True):
+            np.take(table, mine, out=row, mode="clip")
+        out, scale = np.empty_like(seen), np.empty(seen.shape[1], kind_)
+        edges = (off[a : b + 1] - base).tolist()
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            now = out[:, lo:hi]
+            if alpha is None:
+                np.multiply(start, seen[:, lo:hi], out=now)
+            else:
+                np.matmul(move, alpha[:, : hi - lo], out=now)
+                now *= seen[:, lo:hi]
+            s = np.add.reduce(now, axis=0, out=scale[lo:hi])
+            now /= s
+            alpha = now
+        return seen, out, scale
+
+    def _by_state(self, kind_: type) -> list[np.ndarray]:
+        return list(np.ascontiguousarray(self.emit.T, kind_))
+
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 likelihood of each whole sequence by the scaled forward recursion; sequences step together."""
-        sizes = np.array([len(d) for d in docs])
-        order = np.argsort(-sizes, kind="stable")
-        flat = np.concatenate([docs[i] for i in order]) if docs else np.zeros(0, np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes[order])[:-1]])
-        active = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), "left")
-        alpha, out = np.tile(self.start, (len(docs), 1)), np.zeros(len(docs))
-        for t, n in enumerate(active.tolist()):
-            a = alpha[:n] if not t else alpha[:n] @ self.move
-            a = a * self.emit[flat[first[:n] + t]]
-            s = a.sum(axis=1)
-            alpha[:n] = a / s[:, None]
-            out[:n] += np.log10(s)
+        order, ids, off = time_major(docs)
+        out, alpha, emit = np.zeros(len(docs)), None, self._by_state(np.float64)
+        for a, b in stretches(off):
+            _, held, scale = self._forward(emit, ids, off, a, b, alpha)
+            logs, edges = np.log10(scale), (off[a : b + 1] - off[a]).tolist()
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                out[: hi - lo] += logs[lo:hi]
+            alpha = held[:, edges[-2] : edges[-1]].copy()
         back = np.empty(len(docs))
         back[order] = out
         return back
 
-    def counts(self, segments: list[np.ndarray], total: dict[str, np.ndarray]) -> None:
-        """Add expected counts of segments (at most SEGMENT long) to total: Baum-Welch with scaled recursions."""
-        if not segments:
-            return
-        sizes = np.array([len(s) for s in segments])
-        order = np.argsort(-sizes, kind="stable")
-        width, n_all, k = int(sizes.max()), len(segments), len(self.start)
-        grid = np.zeros((width, n_all), np.int64)
-        for c, i in enumerate(order.tolist()):
-            grid[: sizes[i], c] = segments[i]
-        active = np.searchsorted(-sizes[order], -np.arange(width), "left").tolist()
-        alpha, scale = np.empty((width, n_all, k)), np.ones((width, n_all))
-        seen = self.emit[grid]
-        for t, n in enumerate(active):
-            a = (np.broadcast_to(self.start, (n, k)) if not t else alpha[t - 1, :n] @ self.move) * seen[t, :n]
-            s = a.sum(axis=1)
-            alpha[t, :n], scale[t, :n] = a / s[:, None], s
-        beta = np.ones((n_all, k))
-        for t in range(width - 1, -1, -1):
-            n = active[t]
-            gamma = alpha[t, :n] * beta[:n]
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            if t:
-                after = seen[t, :n] * beta[:n] / scale[t, :n, None]
-                total["move"] += (alpha[t - 1, :n].T @ after) * self.move
-                beta[:n] = after @ self.move.T
-            else:
-                total["start"] += gamma.sum(axis=0)
-            alpha[t, :n] = gamma
-        live = np.arange(n_all)[None, :] < np.array(active)[:, None]
-        ids, weight = grid[live], alpha[live]
-        for state in range(k):
-            total["emit"][:, state] += np.bincount(ids, weight[:, state], len(total["emit"]))
+    def counts(self, docs: list[np.ndarray], total: dict[str, np.ndarray]) -> None:
+        """Add expected counts of whole sequences to total: Baum-Welch with scaled recursions, sequences stepping together.
+        Each step's variables are 32-bit floats, their sums 64-bit."""
+        _, ids, off = time_major(docs)
+        todo, alpha, emit = [], None, self._by_state(np.float32)
+        for a, b in stretches(off):
+            todo.append((a, b, alpha))
+            held = self._forward(emit, ids, off, a, b, alpha)
+            alpha = held[1][:, off[b - 1] - off[a] :].copy()
+        moved, after, move = np.zeros_like(self.move), np.zeros((len(self.start), 0), np.float32), self.move.astype(np.float32)
+        for i, (a, b, alpha) in enumerate(reversed(todo)):
+            seen, out, scale = self._forward(emit, ids, off, a, b, alpha) if i else held
+            seen /= scale
+            edges = (off[a : b + 1] - off[a]).tolist()
+            for t in range(b - a - 1, -1, -1):
+                lo, hi = edges[t], edges[t + 1]
+                now, n = out[:, lo:hi], after.shape[1]
+                if n:
+                    moved += now[:, :n] @ after.T
+                    beta = move @ after
+                    now[:, :n] *= beta
+                    after = seen[:, lo:hi]
+                    after[:, :n] *= beta
+                else:
+                    after = seen[:, lo:hi]
+            if not a:
+                total["start"] += out[:, : edges[1]].sum(axis=1)
+            after = after.copy()
+            mine = ids[off[a] : off[b]]
+            for state in range(len(self.start)):
+                total["emit"][:, state] += np.bincount(mine, out[state], len(total["emit"]))
+        total["move"] += moved * self.move
 
     def zeros(self) -> dict[str, np.ndarray]:
         return {"start": np.zeros_like(self.start), "move": np.zeros_like(self.move), "emit": np.zeros_like(self.emit)}
@@ -221,16 +277,53 @@ class Hmm:
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
 
-def segments_of(docs: list[np.ndarray]) -> list[np.ndarray]:
-    return [d[a : a + SEGMENT] for d in docs for a in range(0, len(d), SEGMENT)]
-
-
-def _class_ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2").astype(np.int64) for x in column.to_pylist()]
+def time_major(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, ids, off): documents from long to short; their ids step by step, those of step t from off[t] on."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    sizes = sizes[order]
+    active = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0)), "left")
+    off = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+    ids = np.empty(off[-1], np.int32)
+    if len(ids):
+        flat = np.concatenate([docs[i] for i in order])
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids[off[step] + np.repeat(np.arange(len(docs)), sizes)] = flat
+    return order, ids, off
+
+
+def stretches(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of steps (a, b) of at most STRETCH tokens, or of one step."""
+    a, steps = 0, len(off) - 1
+    while a < steps:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + STRETCH, "right")) - 1)
+        yield a, min(b, steps)
+        a = min(b, steps)
+
+
+def _class_ids(column: pa.Array, classes: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind(classes)) for x in column.to_pylist()]
+
+
+def dealt(coded: DataFrame) -> DataFrame:
+    """coded, dealt so that documents of like length lie together and each part has its share of the tokens: a length class
+    (powers of two) takes as many parts as its tokens need."""
+    spark = coded.sparkSession
+    size = F.floor(F.log2("n_tokens")).cast("int")
+    found = {r["s"]: int(r["n"]) for r in coded.groupBy(size.alias("s")).agg(F.sum("n_tokens").alias("n")).collect()}
+    if not found:
+        return coded
+    share = max(1, min(TASK_TOKENS, -(-sum(found.values()) // spark.sparkContext.defaultParallelism)))
+    parts, at = {s: -(-n // share) for s, n in sorted(found.items())}, 0
+    first = {}
+    for s, n in parts.items():
+        first[s], at = at, at + n
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[size]
+    return coded.withColumn("_part", table(first) + F.pmod(F.xxhash64("row"), table(parts)).cast("int")).repartitionByRange(at, "_part").drop("_part")
 
 
 def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> Hmm:
-    """One round over all rows of training (classes binary). A task sums its counts and sends them in BLOCKS parts; each
+    """One round over all rows of training (classes binary). A task sums its counts and sends them in 16 parts; each
     part is summed over salted groups of tasks first, so a merging task reads a bounded share."""
     spark = training.sparkSession
     held = spark.sparkContext.broadcast(hmm)
@@ -241,28 +334,30 @@ def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> Hmm:
         from pyspark import TaskContext
 
         m = held.value
-        total, waiting = m.zeros(), []
+        total, waiting, n = m.zeros(), [], 0
         for b in batches:
-            waiting += segments_of(_class_ids(b.column(0)))
-            if len(waiting) > 3000:
-                m.counts(waiting, total)
-                waiting = []
+            for d in _class_ids(b.column(0), classes):
+                if waiting and (n + len(d) > TOGETHER or len(waiting) >= SIDE_BY_SIDE):
+                    m.counts(waiting, total)
+                    waiting, n = [], 0
+                waiting.append(d)
+                n += len(d)
         m.counts(waiting, total)
-        parts = [total["emit"][i * size : (i + 1) * size].tobytes() for i in range(blocks)]
-        parts.append(np.concatenate([total["start"], total["move"].ravel()]).tobytes())
+        parts = [total["emit"][i * size : (i + 1) * size].astype(np.float32).tobytes() for i in range(blocks)]
+        parts.append(np.concatenate([total["start"], total["move"].ravel()]).astype(np.float32).tobytes())
         n = len(parts)
         yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(parts, pa.binary())], names=["part", "task", "sums"])
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key, table: pa.Table, kinds: type) -> pa.Table:
         order = np.argsort(table.column("task").to_numpy(), kind="stable")
         sums = table.column("sums").to_pylist()
-        total = sum((np.frombuffer(sums[i], np.float64) for i in order), 0.0)
+        total = sum((np.frombuffer(sums[i], kinds) for i in order), np.float64(0.0)).astype(np.float64)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([int(table.column("task").to_numpy().min())], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, task int, sums binary"
     sent = training.select("classes").mapInArrow(local, schema)
-    once = sent.groupBy("part", F.expr("task % 64").alias("salt")).applyInArrow(lambda key, t: merge(key, t), schema)
-    done = once.groupBy("part").applyInArrow(lambda key, t: merge(key, t), schema)
+    once = sent.groupBy("part", F.expr("task % 64").alias("salt")).applyInArrow(lambda key, t: merge(key, t, np.float32), schema)
+    done = once.groupBy("part").applyInArrow(lambda key, t: merge(key, t, np.float64), schema)
     got = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in done.collect()}
     total = hmm.zeros()
     if got:
@@ -290,18 +385,22 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     counts = materialize(word_counts(docs.filter(~out_of), text), "lm-counts")
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, n_types = int(facts[0]), int(facts[1])
-    often = frequent_words(counts)
-    of_class = F.when(F.length("word") == 0, F.lit(0)).otherwise(F.crc32("word") % (CLASSES - 1) + 1)
-    mass = np.full(CLASSES, ADD)
-    mass[0] = ADD
-    for r in counts.groupBy(of_class.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        mass[r["k"]] += r["c"] + ADD * r["n"]
-    if mass[0] > ADD:
-        mass[0] -= ADD  # the end is a class of its own: no unseen word shares it
+    often, classes = frequent_words(counts, n_types)
+    mass = np.zeros(classes.total)
+    mass[1 + classes.own :] = ADD  # unseen words share the hashed classes alone
+    for (_, c), k in zip(often, classes.assigned(often), strict=True):
+        if k <= classes.own:
+            mass[k] = c + ADD
+    mass[0] = mass[0] or ADD
+    hashed = counts.filter((F.col("c") < classes.least) & (F.length("word") > 0))
+    by = (F.crc32("word") % (classes.total - 1 - classes.own) + 1 + classes.own).cast("int")
+    sums = hashed.groupBy(by.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    np.add.at(mass, sums.column("k").to_numpy(), sums.column("c").to_numpy() + ADD * sums.column("n").to_numpy())
     share = mass / mass.sum()
-    coded = materialize(encode(docs, often, key, text, out_of), "lm-coded")
+    coded = materialize(encode(docs, often, key, text, out_of, classes), "lm-coded")
+    training = materialize(dealt(coded.filter("not held_out").select("row", "n_tokens", "classes")), "lm-training")
 
-    hmm = fit(coded.filter("not held_out"), share, states, rounds)
+    hmm = fit(training, share, states, rounds)
 
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts, "word", "left")
@@ -318,7 +417,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
         def close(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()
             for b in whole:
-                ids = _class_ids(b.column(6))
+                ids = _class_ids(b.column(6), len(logs))
                 mine = m.scores(ids) - np.array([logs[x].sum() for x in ids])
                 yield pa.record_batch([*b.columns[:6], pa.array(mine)], names=names)
 

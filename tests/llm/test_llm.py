@@ -564,7 +564,7 @@ def test_every_round_reads_whole_documents(spark):
     want = hmm.Hmm.random(share, 3)
     for _ in range(rounds):
         total = want.zeros()
-        want.counts(hmm.segments_of(docs), total)
+        want.counts(docs, total)
         want = hmm.Hmm.estimate(total, share)
     assert np.allclose(got.emit, want.emit) and np.allclose(got.move, want.move) and np.allclose(got.start, want.start)
     assert hmm.ROUNDS == 15 and not hasattr(hmm, "START_DOCS")
