@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
+#: Rows handled at once: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 256
 
 
@@ -16,9 +19,11 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Arrow batches hold few rows; documents reach hundreds of kilobytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows: documents reach hundreds of kilobytes. Spark bounds a batch by bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def crc_mod(key: Column, modulus: int) -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import slices
 
 #: Fixed values of HTML: elements without content, with raw text, that start blocks, and that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -513,11 +513,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
     empty table gives an empty result.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = main_texts(b.column(2).to_pylist(), held.value)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

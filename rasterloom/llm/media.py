@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import slices
 
 #: Fixed values of the format: signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -153,16 +153,15 @@ def text_to_samples(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, i
     return np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, width), len(raw)
 
 
-def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text", row_filter: int = NONE, level: int = 3) -> DataFrame:
-    """doc_id, n_bytes, media: every whole text as one PNG in a binary column.
+def to_media(docs: DataFrame, key: str = "doc_id", text: str = "text", row_filter: int = UP, level: int = 3) -> DataFrame:
+    """doc_id, n_bytes, media: every whole text as one PNG in a binary column, its rows as differences from those above.
 
     Null and empty texts give one row of zeros; equal texts give equal media; repeated rows stay; null keys are
     kept; further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [text_to_samples(x) for x in b.column(1).to_pylist()]
             media = [encode_png(s, row_filter, level) for s, _ in made]
             yield pa.record_batch([b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -187,7 +186,7 @@ def read_media(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-        for b in batches:
+        for b in slices(batches):
             cols = list(zip(*map(one, b.column(2).to_pylist()), strict=True)) or [()] * 7
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 

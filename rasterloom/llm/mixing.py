@@ -20,8 +20,16 @@ from rasterloom.session import materialize
 
 #: The fractional part of the golden ratio, and of it times 2^20: products stay exact to about 1e-10 for any slot number.
 PHI, PHI_20 = 0.6180339887498949, math.modf(0.6180339887498949 * (1 << 20))[0]
-#: Ranges of the shuffle order into which each source is split.
-RANGES = 1024
+#: Rows for each range of the shuffle order or of the slots, while there are less of them than ranges: both grow with the
+#: square root of the rows, so neither a range nor the list of ranges outgrows a task.
+LEAST_RANGE = 64
+
+
+def ranges(rows: int) -> int:
+    """How many bits number the ranges of so many rows."""
+    return min(32, max(0, rows // LEAST_RANGE).bit_length(), (rows.bit_length() + 1) // 2 + 3)
+
+
 #: Sources up to this count are broadcast (some 100 bytes each); beyond it Spark plans the join.
 BROADCAST_SOURCES = 100_000
 
@@ -44,7 +52,7 @@ def target_shares(sources: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: i
     s = s.withColumn("_free", F.min(free).over(every))
     top = (F.col("source_size") * cap).cast("double")
     share = (F.col("_free._left") * F.col("weight")).cast("double") / F.col("_free._weight")
-    return s.select("source", "src", "source_size", "weight", F.when(F.col("_capped"), top).otherwise(F.least(share, top)).alias("target"))
+    return s.select(*[c for c in sources.columns if c != "source_size"], "src", "source_size", "weight", F.when(F.col("_capped"), top).otherwise(F.least(share, top)).alias("target"))
 
 
 def schedule(shares: DataFrame, slots: int) -> DataFrame:
@@ -68,7 +76,7 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     hit = points.join(by_cell, (points.cell == by_cell.cell) & (points.u >= by_cell.lo) & (points.u < by_cell.hi)).select("slot", "src")
     hit = materialize(hit, "mix-slots")
     none = bounds.join(hit.select("src").distinct(), "src", "left_anti").select((F.lit(slots) + F.row_number().over(Window.orderBy("src")) - 1).cast("long").alias("slot"), "src")
-    drawn = hit.unionByName(none).withColumn("_range", F.shiftright("slot", 12))
+    drawn = hit.unionByName(none).withColumn("_range", F.shiftright("slot", max(0, slots.bit_length() - ranges(slots))))
     return prefix_before(drawn, ["src"], "_range", ["slot"], F.lit(1), "block").drop("_range")
 
 
@@ -88,8 +96,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block
         F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("order"),
     )
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
-    shares = materialize(target_shares(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap).withColumn("quota", F.floor("target")), "mix-shares")
-    facts = shares.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    shares = materialize(target_shares(sums, weights, cap).withColumn("quota", F.floor("target")), "mix-shares")
+    facts = shares.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
     near = F.broadcast(shares) if facts[1] <= BROADCAST_SOURCES else shares
     rows = sized.join(near, sized["source"].eqNullSafe(near["source"])).select("row", "key", sized["source"], "size", "order", "src", "source_size", "target", "quota")
     slots = max(1, -(-int(facts[0]) // block_words))
@@ -97,8 +106,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block
     counts = drawn.groupBy("src").agg(F.count("*").alias("blocks"))
     counts = counts.join(shares.select("src", "source_size", "quota"), "src")
     counts = counts.select("src", "blocks", F.expr("quota div blocks").alias("base"), F.expr("quota % blocks").alias("longer"))
-    prefix = F.conv(F.substring("order", 1, 4), 16, 10).cast("int")
-    ranged = rows.filter("size > 0 and quota > 0").withColumn("_range", F.shiftright(prefix, 16 - (RANGES - 1).bit_length()))
+    prefix = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
+    ranged = rows.filter("size > 0 and quota > 0").withColumn("_range", F.shiftright(prefix, 32 - ranges(int(facts[2]))))
     placed = prefix_before(ranged, ["src"], "_range", ["order", "key", "row"], F.col("size"), "at")
     placed = placed.join(F.broadcast(counts) if facts[1] <= BROADCAST_SOURCES else counts, "src")
     runs = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap))))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import slices
 from rasterloom.operators.graph import connected_components
 from rasterloom.session import materialize
 
@@ -71,10 +71,9 @@ def node(text: str = "text") -> Column:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, node, bands of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [bands(x) for x in b.column(2).to_pylist()]
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), values)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import slices
 from rasterloom.llm.tokens import Encoder, tokenizer_path
 from rasterloom.session import materialize
 
@@ -72,7 +72,6 @@ def plan(histogram: dict[int, int], window: int) -> list[Pattern]:
 def cut(docs: DataFrame, window: int = 2048, key: str = "doc_id", text: str = "text", end_id: int = 1, tokenizer: str | None = None, kind: str = "byte") -> DataFrame:
     """Encode every whole text, append end_id, cut: pieces with ids (little-endian unsigned 32-bit, binary), and shard
     and rank, which number the pieces of each length within a task."""
-    small_batches(docs.sparkSession)
     where = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +79,7 @@ def cut(docs: DataFrame, window: int = 2048, key: str = "doc_id", text: str = "t
 
         shard, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         encoder, tail = Encoder.shared(where, kind), int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for name, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 ids += tail

@@ -1,7 +1,8 @@
 """SimHash near-duplicate groups: fingerprints linked at a Hamming radius through sharded BK-trees.
 
-Two 64-bit fingerprints within radius r agree on at least one of r + 1 equal bands, so every link lies in a shard:
-the fingerprints that share a band's value. In a shard a BK-tree keys children by their Hamming distance to the
+The 64 bits are cut into r + 3 equal bands. Two fingerprints within radius r agree on at least three bands, so every link
+lies in a shard: the fingerprints that share the values of some three bands (for radius 3: 20 tables with keys of about 32
+bits, so shards of unrelated fingerprints stay small up to billions of documents). In a shard a BK-tree keys children by their Hamming distance to the
 parent and a search follows only edges within the radius. A shard of more than SHARD fingerprints is split into
 chunks and each pair of chunks is searched in a cell of its own, so no task holds a hot shard; cells hold trees
 of proven size, which is why they travel with the shuffle rather than as one broadcast of all documents' trees.
@@ -10,13 +11,14 @@ of proven size, which is why they travel with the shuffle rather than as one bro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import slices
 from rasterloom.operators.graph import connected_components
 from rasterloom.session import materialize
 
@@ -113,10 +115,9 @@ def cell_links(first: list[int], second: list[int] | None, radius: int) -> list[
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(x) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -126,9 +127,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """src, dst: edges between distinct fingerprints (column fp) that connect all within the radius."""
     spark = distinct.sparkSession
-    bands = radius + 1
+    bands = radius + 3
     edges_at = [BITS * i // bands for i in range(bands + 1)]
-    values = [F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edges_at, edges_at[1:], strict=False)]
+    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges_at, edges_at[1:], strict=False)]
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    values = [F.col("fp").bitwiseAND(F.lit(signed(sum(three)))) for three in combinations(masks, 3)]
     rows = distinct.select("fp", F.posexplode(F.array(*values)).alias("band", "value"))
     shards = materialize(rows.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-shards")
     shared = rows.join(shards, ["band", "value"]).withColumn("chunks", F.ceil(F.col("n") / SHARD).cast("int"))

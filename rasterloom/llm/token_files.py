@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import small_batches
+from rasterloom.llm.common import slices
 from rasterloom.llm.tokens import Encoder, tokenizer_path
 from rasterloom.operators.ranking import prefix_before
 from rasterloom.session import materialize
@@ -158,7 +158,6 @@ def write_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     dealt by ranges of key and hash, so no task holds more than its share.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     where = tokenizer or tokenizer_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, key: str = "doc_id",
         def flush() -> pa.RecordBatch:
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([n], pa.int64()), pa.array([write_shard(names, held)], pa.binary())], names=["part", "shard", "n_docs", "n_tokens", "data"])
 
-        for b in batches:
+        for b in slices(batches):
             for name, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 if names and (n + len(ids) // 4 + 1 > SHARD_TOKENS or len(names) >= SHARD_DOCS):
                     yield flush()
@@ -197,12 +196,11 @@ def read_shards(shards: DataFrame) -> tuple[DataFrame, DataFrame]:
     unsigned 32-bit, binary), inside being the offset in the shard's ids, found by select. firsts: part,
     shard, first: the ids in all shards before (one small row for each shard of some 2 million ids).
     """
-    small_batches(shards.sparkSession, 4)
     sizes = shards.select("part", "shard", "n_tokens", F.lit(0).alias("_all"))
     first = prefix_before(sizes, ["_all"], "part", ["shard"], F.col("n_tokens"), "first").select("part", "shard", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for part, number, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(data)
                 flat = shard.all_ids()

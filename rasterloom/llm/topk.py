@@ -9,6 +9,7 @@ get their exact integer product. Bounds are widened by their rounding error, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.session import materialize
+from rasterloom.session import materialize, shared_dir
 
-#: Queries that are broadcast together: of 64 components, about 2 MB.
-QUERY_BLOCK = 4096
+#: Queries that are broadcast together: of 64 components, about 4 MB.
+QUERY_BLOCK = 8192
 #: Candidates per step.
 STEP = 2048
 LONG = 2**63 - 1
@@ -38,16 +39,16 @@ def summary(v: np.ndarray, segments: int) -> np.ndarray:
 class Block:
     """A block of queries of one dimension with the k best candidates so far of each."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, resolutions: tuple[int, ...]):
-        self.ids, self.v, self.k, self.resolutions = ids, vectors, k, resolutions
+    def __init__(self, row: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, resolutions: tuple[int, ...]):
+        self.rows_, self.ids, self.v, self.k, self.resolutions = row, ids, vectors, k, resolutions
         self.levels = [summary(vectors, r) for r in resolutions]
         self.norm = np.sqrt((vectors * vectors).sum(axis=1))
         self.score = np.full((len(ids), k), -np.inf)
         self.best = np.full((len(ids), k), LONG, np.int64)
         self.most = np.abs(vectors).max(initial=0)
 
-    def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Fold candidates in. Components are integers: products are exact in float64 below 2^53, else in the
+    def offer(self, row: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Fold candidates in (row tells rows apart). Components are integers: products are exact in float64 below 2^53, else in the
         64-bit mantissas of long doubles (beyond 2^63 scores stop at the largest long)."""
         kind = np.float64 if self.most * np.abs(x).max(initial=0) * self.v.shape[1] < 2**53 else np.longdouble
         if kind is np.longdouble:
@@ -65,7 +66,7 @@ class Block:
         if not rows.size:
             return
         exact = self.v[rows].astype(kind, copy=False) @ x[cols].T.astype(kind, copy=False)
-        exact[~alive[np.ix_(rows, cols)] | (self.ids[rows][:, None] == ids[cols][None, :])] = -np.inf
+        exact[~alive[np.ix_(rows, cols)] | (self.rows_[rows][:, None] == row[cols][None, :])] = -np.inf
         score = np.concatenate([self.score[rows], exact], axis=1)
         names = np.concatenate([self.best[rows], np.broadcast_to(ids[cols], exact.shape)], axis=1)
         # only those at or above the k-th largest can enter; ties at it go to the smaller id
@@ -76,9 +77,9 @@ class Block:
             at = at[np.lexsort((names[i][at], -score[i][at]))][: self.k]
             self.score[rows[i]], self.best[rows[i]] = score[i][at], names[i][at]
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(self) -> tuple[np.ndarray, ...]:
         q, j = np.nonzero(np.isfinite(self.score))
-        return self.ids[q], self.best[q, j], np.clip(self.score[q, j].astype(np.longdouble), -LONG, LONG).astype(np.int64)
+        return self.rows_[q], self.ids[q], self.best[q, j], np.clip(self.score[q, j].astype(np.longdouble), -LONG, LONG).astype(np.int64)
 
 
 def quantize(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -88,47 +89,57 @@ def quantize(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame
     return vectors.filter(good & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), x.alias("v"))
 
 
-def _by_dimension(ids: np.ndarray, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_dimension(b: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, vectors) of row, vec_id, v, for each dimension."""
+    row, ids, lists = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in b.columns[:3])
+    row, ids = row.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
     sizes = np.diff(lists.offsets.to_numpy())
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
-        yield ids[at], flat[first[at][:, None] + np.arange(d)[None, :]]
+        yield row[at], ids[at], flat[first[at][:, None] + np.arange(d)[None, :]]
 
 
 def topk(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, resolutions: tuple[int, ...] = (4, 16)) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query row with all other rows.
 
-    Ties go to the smaller id. A row never answers itself; rows that repeat an id are not its answers either, and
-    other rows that repeat an answer's vector are answers of their own. Only vectors of the same dimension are
-    compared. Queries are handled in blocks of QUERY_BLOCK, split by hash of the id: each block is broadcast, meets
-    all rows where they lie, and each task sends at most k rows per query to the merge. Null ids take no part; an
-    empty table gives an empty result; further columns are ignored.
+    Ties go to the smaller id. A row never answers itself; rows that repeat its id or vector are other rows: each query
+    row has its own k answers, and each repeated row is an answer of its own. Only vectors of the same dimension are
+    compared. Queries are handled in blocks of about QUERY_BLOCK, split by hash of the row: a block is broadcast, meets
+    all rows where they lie, each task sends at most k rows per query to the merge, and its answers are written before
+    the next block is read, so the driver and the executors hold one block at a time. Null ids take no part; an empty
+    table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
-    ready = materialize(quantize(vectors, key, vector, scale).withColumn("query", is_query(F.col("vec_id"))), "topk-vectors")
+    ready = quantize(vectors, key, vector, scale).withColumn("query", is_query(F.col("vec_id")))
+    ready = materialize(ready.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     n = ready.filter("query").count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    schema = "query_id long, vec_id long, score long"
-    out = spark.createDataFrame([], schema)
+    schema = "query_row long, query_id long, vec_id long, score long"
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    path = f"{shared_dir(spark)}/rasterloom/topk-{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    written = False
     for i in range(blocks):
-        mine = ready.filter(F.col("query") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).select("vec_id", "v").dropDuplicates(["vec_id", "v"]).toArrow()
+        mine = ready.filter(F.col("query") & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == i)).select("row", "vec_id", "v").toArrow()
         if not mine.num_rows:
             continue
         held = spark.sparkContext.broadcast(mine.combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            table = held.value
-            queries = {v.shape[1]: Block(ids, v, k, resolutions) for ids, v in _by_dimension(table.column(0).to_numpy(), table.column(1).combine_chunks())}
+            queries = {v.shape[1]: Block(row, ids, v, k, resolutions) for row, ids, v in _by_dimension(held.value)}
             for b in batches:
-                for ids, x in _by_dimension(b.column(0).to_numpy(zero_copy_only=False), b.column(1)):
+                for row, ids, x in _by_dimension(b):
                     if x.shape[1] in queries:
                         for a in range(0, len(ids), STEP):
-                            queries[x.shape[1]].offer(ids[a : a + STEP], x[a : a + STEP])
+                            queries[x.shape[1]].offer(row[a : a + STEP], ids[a : a + STEP], x[a : a + STEP])
             for block in queries.values():
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in block.rows()], names=["query_id", "vec_id", "score"])
-
-        out = out.unionByName(ready.select("vec_id", "v").mapInArrow(run, schema))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in block.found()], names=["query_row", "query_id", "vec_id", "score"])
+
+        out = ready.select("row", "vec_id", "v").mapInArrow(run, schema)
+        ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked.write.mode("append").parquet(path)
+        written = True
+        held.destroy()
+    return spark.read.schema(empty.schema).parquet(path) if written else empty

@@ -293,6 +293,40 @@ def test_phrases_equal_greedy_parsing():
         assert m.phrases([text])[0, k] == n
 
 
+def test_phrases_of_long_texts_cross_blocks(rows, monkeypatch):
+    """Counts equal a greedy parse of the whole text, with tables of transitions and with sorted keys."""
+    r = random.Random(6)
+    train = {"a": "".join(r.choice("abcd ") for _ in range(3000)), "b": "ab " * 400 + "日本語 текст " * 30, "c": " ".join(x.text for x in list(rows.values())[:3] if x.text)[:3000]}
+    texts = ["".join(r.choice("abcd ") for _ in range(2000)), "ab " * 1500, train["b"] * 2, train["c"][100:2500], "日本 дом xyz" * 200, "a"]
+    for cells in (language_id.TABLE, 0):
+        monkeypatch.setattr(language_id, "TABLE", cells)
+        m = language_id.Model(tuple(train.items()))
+        parts = [m._symbols(t) for t in texts]
+        got = m.phrases(parts)
+        for k, name in enumerate(m.names):
+            known = "".join(map(chr, np.concatenate([[0], m._symbols(train[name])])))
+            for i, p in enumerate(parts):
+                s, n, at = "".join(map(chr, p)), 0, 0
+                while at < len(s):
+                    size = 1
+                    while at + size < len(s) and s[at : at + size + 1] in known:
+                        size += 1
+                    n, at = n + 1, at + size
+                assert got[i, k] == n, (cells, name, i)
+
+
+def test_a_language_of_long_documents_is_learned(spark):
+    r = random.Random(2)
+    word = lambda alphabet: "".join(r.choice(alphabet) for _ in range(5))
+    items = [(i, " ".join(word("abcde") for _ in range(16_000)), "la") for i in range(4)] + [(10 + i, " ".join(word("fghij") for _ in range(50)), "en") for i in range(20)]
+    items += [(40 + i, " ".join(word("一二三四五六七八九十") for _ in range(40)), "zh") for i in range(8)]
+    docs = spark.createDataFrame(items, "doc_id long, text string, lang string")
+    learned = language_id.sample(docs)
+    assert {lang for lang, _ in learned} == {"la", "en", "zh"} and sum(len(t) for lang, t in learned if lang == "la") <= language_id.SAMPLE_CHARS
+    got = language_id.identify(docs, learned).collect()
+    assert all(x.lang_pred == x.lang for x in got)
+
+
 def test_language_id(spark, odd, rows):
     got = queries.op4_language_id(spark, DIR).collect()
     held = [r for r in got if r.held_out]
@@ -489,6 +523,35 @@ def test_media(spark, odd):
     assert media.read_media(media.to_media(odd.limit(0))).count() == 0
 
 
+def test_media_query_equals_brute_force(spark, rows):
+    """Every column, from the bytes themselves; the stored form is read by its format's rules alone."""
+    import hashlib
+
+    stored = {r.doc_id: r for r in media.to_media(spark.read.parquet(f"{DIR}/documents.parquet")).collect()}
+    base = np.array([[np.cos(np.pi * (2 * x + 1) * u / 64) for x in range(32)] for u in range(8)])
+    for r in queries.op8_media(spark, DIR).collect():
+        raw = (rows[r.doc_id].text or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        data = bytes(stored[r.doc_id].media)
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        size = int.from_bytes(data[33:37], "big")
+        assert data[37:41] == b"IDAT"
+        lines = [x for x in np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(-1, 65)]
+        above, back = np.zeros(64, np.uint8), []
+        for x in lines:
+            assert x[0] == media.UP
+            above = x[1:] + above
+            back.append(above)
+        assert b"".join(x.tobytes() for x in back) == payload
+        img = np.array(back, float)
+        h = len(img)
+        small = np.array([[img[y * h // 32 : max(y * h // 32 + 1, (y + 1) * h // 32), 2 * x : 2 * x + 2].mean() for x in range(32)] for y in range(32)])
+        low = np.round(base @ small @ base.T, 6).ravel()
+        want = sum(int(b) << (63 - i) for i, b in enumerate(low > np.median(low[1:])))
+        assert (int(r.feature, 16) ^ want).bit_count() <= 1  # a coefficient at the median may round either way
+
+
 # --- 9
 
 
@@ -508,6 +571,23 @@ def test_topk_equals_brute_force(spark):
     assert topk.topk(df.limit(0), lambda c: c == 0).count() == 0
 
 
+def test_topk_of_repeated_ids_and_several_blocks(spark, monkeypatch):
+    """Rows of one id are rows of their own, as queries and as answers."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(9)
+    ids = [int(i) for i in rng.integers(0, 60, 120)]
+    v = rng.normal(0, 0.3, (120, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(3)
+    got = Counter(map(tuple, topk.topk(df, lambda c: F.pmod(c, F.lit(5)) == 0).collect()))
+    q = np.floor(256 * v).astype(int)
+    want = Counter()
+    for a in range(120):
+        if ids[a] % 5 == 0:
+            s = sorted((-int(q[a] @ q[b]), ids[b]) for b in range(120) if b != a)[:5]
+            want.update((ids[a], k + 1, j, -x) for k, (x, j) in enumerate(s))
+    assert got == want
+
+
 # --- 10
 
 
