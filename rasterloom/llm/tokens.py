@@ -16,8 +16,9 @@ from collections.abc import Callable, Sequence
 
 #: Chunks in each of the two generations that a worker remembers: together about 250 MB.
 REMEMBER = 500_000
-_ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
-_ODD_WORD = re.compile("[\x1c-\x1f]")
+#: White space of Python's str.split that is no white space to the word-level tokenizer; and all but space and line feed.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: ASCII punctuation but for the apostrophe, which can begin a contraction.
 _AFTER = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -77,7 +78,9 @@ class Encoder:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def _learn(self, space: str, chunk: str) -> bytes:
-        """Ids of a chunk with the space before it."""
+        """Ids of a chunk with the space before it; or with a line feed, which a chunk may begin with, instead."""
+        if chunk[:1] == "\n":
+            return self.feed + self.bare[chunk[1:]]
         core = chunk.rstrip(_AFTER)
         if core.isascii():
             if not core.isalpha():
@@ -97,16 +100,12 @@ class Encoder:
 
     def _encode(self, text: str) -> bytes:
         if self.kind == "word":
-            return self._whole(text) if _ODD_WORD.search(text) else b"".join(map(self.bare.__getitem__, text.split()))
-        if _ODD_SPACE.search(text):
+            return self._whole(text) if any(map(text.__contains__, _SEPARATORS)) else b"".join(map(self.bare.__getitem__, text.split()))
+        line = text.replace("\n", " ")
+        if "  " in line or line[0] == " " or line[-1] == " " or any(map(line.__contains__, _OTHER_SPACE)):
             return self._whole(text)
-        parts, spaced = [], self.spaced.__getitem__
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            parts.append(self.feed)
-            parts.append(self.bare[first])
-            parts += map(spaced, rest)
-        return b"".join(parts[1:])
+        first, _, rest = text.replace("\n", " \n").partition(" ")
+        return self.bare[first] + (b"".join(map(self.spaced.__getitem__, rest.split(" "))) if rest else b"")
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         for held in (self.bare, self.spaced, self.tails):
