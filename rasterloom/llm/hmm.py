@@ -2,14 +2,14 @@
 
 Tokens are lower-cased words and one end per document. States emit classes: each frequent word is a class of its own,
 and all others share classes by a hash; the end has its own. The number of classes grows with the training vocabulary
-(about one for eight distinct words, from 4,096 to 262,144, half of them for single words), and a class emits its words
+(a power of two, one to 64 distinct words or so, from 4,096 to 262,144, half of them for single words), and a class emits its words
 by their smoothed counts. So the model is a proper distribution over texts:
 
     P(text) = P_hmm(classes of its tokens) * product over tokens of (c + 0.1) / M_class,
 
 c a token's training count, M_class the sum of (c + 0.1) over the class's training words plus 0.1 for unseen ones.
 Baum-Welch starts from random emissions around the class frequencies, and in each round its counts are summed over
-all training documents: tasks run the scaled forward and backward recursions over whole documents (keeping the forward
+all training documents, until a round gains less than LEAST_GAIN digits a token (ROUNDS rounds at most): tasks run the scaled forward and backward recursions over whole documents (keeping the forward
 variables of one stretch of steps at a time, and those before each stretch) and send one table of counts each. Scores
 run the scaled forward recursion over whole documents. Documents are dealt by length, as those of a task step together.
 
@@ -29,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import crc_mod, small_batches
+from rasterloom.llm.common import crc_mod, slices
 from rasterloom.session import materialize
 
 #: Fixed value of the base score's smoothing.
 ADD = 0.1
-STATES, ROUNDS = 8, 15
+STATES, ROUNDS, LEAST_GAIN = 8, 15, 0.005
 #: Bounds of the number of classes, and distinct training words for each class between them.
-LEAST_CLASSES, MOST_CLASSES, WORDS_A_CLASS = 4096, 262_144, 8
+LEAST_CLASSES, MOST_CLASSES, WORDS_A_CLASS = 4096, 262_144, 64
 FREQUENT = 100_000
 #: Tokens that a training task reads (fewer if that leaves cores idle); tokens and documents that step together at most
-#: (or one document); tokens whose forward variables are held.
-TASK_TOKENS, TOGETHER, SIDE_BY_SIDE, STRETCH = 16_000_000, 4_000_000, 2048, 1_000_000
+#: (or one document); tokens in a stretch of steps, which fits a core's cache, and tokens whose forward variables are held.
+TASK_TOKENS, TOGETHER, SIDE_BY_SIDE, STRETCH, HOLD = 16_000_000, 4_000_000, 1024, 16_384, 1_000_000
 #: Weight, in tokens, of the class frequencies in each state's emissions, and of the mean in each transition row.
 SMOOTH = 200.0
 #: A count that no word reaches.
@@ -92,7 +92,6 @@ class Codes(dict):
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary, empty: end of document), c: counts in all rows of docs; summed in each task before the shuffle."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -102,7 +101,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             seen.clear()
             return out
 
-        for b in batches:
+        for b in slices(batches):
             for x in b.column(0).to_pylist():
                 seen.update(words(x))
                 seen[b""] += 1
@@ -145,7 +144,6 @@ def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: s
     """One row per document: row, doc_id, held_out, n_tokens, the frequent words' part of the sums, class ids (as kind()
     says), and its other words with their counts."""
     spark = docs.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +152,7 @@ def encode(docs: DataFrame, frequent: list[tuple[bytes, int]], key: str, text: s
         group = np.array(classes.assigned(held.value), np.int64)
         codes = Codes(known, classes)
         end = codes[b""] if b"" in codes else None
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for x in b.column(3).to_pylist():
                 w = words(x)
@@ -232,18 +230,23 @@ class Hmm:
         back[order] = out
         return back
 
-    def counts(self, docs: list[np.ndarray], total: dict[str, np.ndarray]) -> None:
-        """Add expected counts of whole sequences to total: Baum-Welch with scaled recursions, sequences stepping together.
-        Each step's variables are 32-bit floats, their sums 64-bit."""
+    def counts(self, docs: list[np.ndarray], total: dict[str, np.ndarray]) -> float:
+        """Add expected counts of whole sequences to total, return their log10 likelihood: Baum-Welch with scaled
+        recursions, sequences stepping together. Each step's variables are 32-bit floats, their sums 64-bit. Forward
+        variables of the last HOLD tokens are held, others computed again from those before their stretch."""
         _, ids, off = time_major(docs)
-        todo, alpha, emit = [], None, self._by_state(np.float32)
+        todo, alpha, emit, log = [], None, self._by_state(np.float32), 0.0
         for a, b in stretches(off):
-            todo.append((a, b, alpha))
             held = self._forward(emit, ids, off, a, b, alpha)
-            alpha = held[1][:, off[b - 1] - off[a] :].copy()
+            todo.append((a, b, alpha, held if off[-1] - off[a] <= HOLD else None))
+            alpha = held[1][:, off[b - 1] - off[a] :]
+            alpha = alpha if off[-1] - off[a] <= HOLD else alpha.copy()
+            log += float(np.log10(held[2], dtype=np.float64).sum())
         moved, after, move = np.zeros_like(self.move), np.zeros((len(self.start), 0), np.float32), self.move.astype(np.float32)
-        for i, (a, b, alpha) in enumerate(reversed(todo)):
-            seen, out, scale = self._forward(emit, ids, off, a, b, alpha) if i else held
+        tokens, weights = [], [[] for _ in self.start]
+        while todo:
+            a, b, alpha, held = todo.pop()
+            seen, out, scale = held or self._forward(emit, ids, off, a, b, alpha)
             seen /= scale
             edges = (off[a : b + 1] - off[a]).tolist()
             for t in range(b - a - 1, -1, -1):
@@ -262,8 +265,16 @@ class Hmm:
             after = after.copy()
             mine = ids[off[a] : off[b]]
             for state in range(len(self.start)):
-                total["emit"][:, state] += np.bincount(mine, out[state], len(total["emit"]))
+                weights[state].append(out[state])
+            tokens.append(mine)
+            if not a or sum(map(len, tokens)) > HOLD:
+                at = np.concatenate(tokens)
+                for state, parts in enumerate(weights):
+                    total["emit"][:, state] += np.bincount(at, np.concatenate(parts), len(total["emit"]))
+                    parts.clear()
+                tokens.clear()
         total["move"] += moved * self.move
+        return log
 
     def zeros(self) -> dict[str, np.ndarray]:
         return {"start": np.zeros_like(self.start), "move": np.zeros_like(self.move), "emit": np.zeros_like(self.emit)}
@@ -322,8 +333,8 @@ def dealt(coded: DataFrame) -> DataFrame:
     return coded.withColumn("_part", table(first) + F.pmod(F.xxhash64("row"), table(parts)).cast("int")).repartitionByRange(at, "_part").drop("_part")
 
 
-def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> Hmm:
-    """One round over all rows of training (classes binary). A task sums its counts and sends them in 16 parts; each
+def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
+    """The model after one round, and the digits a token of the model before it. One round over all rows of training (classes binary). A task sums its counts and sends them in 16 parts; each
     part is summed over salted groups of tasks first, so a merging task reads a bounded share."""
     spark = training.sparkSession
     held = spark.sparkContext.broadcast(hmm)
@@ -334,17 +345,17 @@ def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> Hmm:
         from pyspark import TaskContext
 
         m = held.value
-        total, waiting, n = m.zeros(), [], 0
+        total, waiting, n, log = m.zeros(), [], 0, 0.0
         for b in batches:
             for d in _class_ids(b.column(0), classes):
                 if waiting and (n + len(d) > TOGETHER or len(waiting) >= SIDE_BY_SIDE):
-                    m.counts(waiting, total)
+                    log += m.counts(waiting, total)
                     waiting, n = [], 0
                 waiting.append(d)
                 n += len(d)
-        m.counts(waiting, total)
+        log += m.counts(waiting, total)
         parts = [total["emit"][i * size : (i + 1) * size].astype(np.float32).tobytes() for i in range(blocks)]
-        parts.append(np.concatenate([total["start"], total["move"].ravel()]).astype(np.float32).tobytes())
+        parts.append(np.concatenate([total["start"], total["move"].ravel(), [log]]).astype(np.float32).tobytes())
         n = len(parts)
         yield pa.record_batch([pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array(parts, pa.binary())], names=["part", "task", "sums"])
 
@@ -359,18 +370,23 @@ def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> Hmm:
     once = sent.groupBy("part", F.expr("task % 64").alias("salt")).applyInArrow(lambda key, t: merge(key, t, np.float32), schema)
     done = once.groupBy("part").applyInArrow(lambda key, t: merge(key, t, np.float64), schema)
     got = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in done.collect()}
-    total = hmm.zeros()
+    total, log = hmm.zeros(), 0.0
     if got:
         total["emit"] = np.concatenate([got[i].reshape(size, states) for i in range(blocks)])
-        total["start"], total["move"] = got[blocks][:states].copy(), got[blocks][states:].reshape(states, states).copy()
-    return Hmm.estimate(total, share)
+        total["start"], total["move"] = got[blocks][:states].copy(), got[blocks][states:-1].reshape(states, states).copy()
+        log = float(got[blocks][-1])
+    return Hmm.estimate(total, share), log / max(1.0, float(total["emit"].sum()))
 
 
-def fit(training: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """All rounds over all rows of training, from random emissions."""
-    hmm = Hmm.random(share, states)
+def fit(training: DataFrame, share: np.ndarray, states: int = STATES, rounds: int = ROUNDS, least_gain: float = -np.inf) -> Hmm:
+    """At most so many rounds, each over all rows of training, from random emissions; the last is the first that finds
+    the likelihood risen by less than least_gain digits a token."""
+    hmm, was = Hmm.random(share, states), -np.inf
     for _ in range(rounds):
-        hmm = baum_welch(training, hmm, share)
+        hmm, now = baum_welch(training, hmm, share)
+        if now - was < least_gain:
+            break
+        was = now
     return hmm
 
 
@@ -400,7 +416,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     coded = materialize(encode(docs, often, key, text, out_of, classes), "lm-coded")
     training = materialize(dealt(coded.filter("not held_out").select("row", "n_tokens", "classes")), "lm-training")
 
-    hmm = fit(training, share, states, rounds)
+    hmm = fit(training, share, states, rounds, LEAST_GAIN)
 
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts, "word", "left")
@@ -422,7 +438,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
                 yield pa.record_batch([*b.columns[:6], pa.array(mine)], names=names)
 
         waiting, n = [], 0
-        for b in batches:
+        for b in slices(batches):
             waiting.append(b)
             n += b.num_rows
             if n >= 4096:
