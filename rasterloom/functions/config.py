@@ -9,9 +9,11 @@ from rasterloom.operators.tiling import METERS
 
 #: Fixed values of the formats.
 LABEL_PATHS = ("$.class_names", "$.classes", "$.labels", "$._Attributes.labels")
-FRAMEWORK, TASK, WANTED, DEFAULT_LABELS = "pytorch", "semantic_segmentation", "landslide", ("background", "landslide")
-#: Prefixes of a session's own folders and files.
-SESSION_FOLDER, SESSION_FILE = "lcc_draft_session_", "lcc_draft_"
+#: Defaults of what an installation chooses: its models' framework and task, the wanted label and where a manifest states
+#: its id, prefixes of a session's own folders and files.
+FRAMEWORK, TASK, WANTED, ID_KEY = "torch", "segmentation", "target", "target_class_id"
+DEFAULT_LABELS = ("background", WANTED)
+SESSION_FOLDER, SESSION_FILE = "draft_session_", "draft_"
 UNSAFE = "<>\\/:\";?*|=,`"
 
 
@@ -20,13 +22,13 @@ def clean_json(text: Column) -> Column:
     return F.regexp_replace(text, "^\\x{FEFF}", "")
 
 
-def labels(manifest: Column) -> Column:
+def labels(manifest: Column, default: tuple[str, ...] = DEFAULT_LABELS) -> Column:
     found = [F.from_json(F.get_json_object(manifest, p), "array<string>") for p in LABEL_PATHS]
-    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in found], F.array(*[F.lit(x) for x in DEFAULT_LABELS]))
+    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in found], F.array(*[F.lit(x) for x in default]))
 
 
-def valid_bundle(manifest: Column) -> Column:
-    return F.coalesce((F.get_json_object(manifest, "$.framework") == FRAMEWORK) & (F.get_json_object(manifest, "$.task") == TASK), F.lit(False))
+def valid_bundle(manifest: Column, framework: str = FRAMEWORK, task: str = TASK) -> Column:
+    return F.coalesce((F.get_json_object(manifest, "$.framework") == framework) & (F.get_json_object(manifest, "$.task") == task), F.lit(False))
 
 
 def display_name(manifest: Column, folder: Column) -> Column:
@@ -34,28 +36,28 @@ def display_name(manifest: Column, folder: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.get_json_object(manifest, p)), F.lit("")) for p in paths], folder)
 
 
-def strict_class_id(manifest: Column, wanted: str = WANTED) -> Column:
+def strict_class_id(manifest: Column, wanted: str = WANTED, id_key: str = ID_KEY) -> Column:
     """Position of the only label that equals wanted without case and outer space; null unless there is exactly one
     and a configured id agrees with it."""
     names = F.transform(F.from_json(F.get_json_object(manifest, "$.class_names"), "array<string>"), lambda x: F.lower(F.trim(x)))
     hits = F.size(F.filter(names, lambda x: x == wanted))
     at = F.array_position(names, F.lit(wanted)).cast("int") - 1
-    stated = F.get_json_object(manifest, "$.landslide_class_id")
+    stated = F.get_json_object(manifest, f"$.{id_key}")
     return F.when((hits == 1) & (stated.isNull() | (stated.try_cast("int") == at)), at)
 
 
-def lenient_class_id(manifest: Column, wanted: str = WANTED) -> Column:
+def lenient_class_id(manifest: Column, wanted: str = WANTED, id_key: str = ID_KEY) -> Column:
     names = F.transform(labels(manifest), lambda x: F.lower(F.trim(x)))
     at = F.array_position(names, F.lit(wanted)).cast("int")
-    return F.coalesce(F.get_json_object(manifest, "$.landslide_class_id").try_cast("int"), F.when(at > 0, at - 1), F.when(F.size(names) > 1, 1).otherwise(0))
+    return F.coalesce(F.get_json_object(manifest, f"$.{id_key}").try_cast("int"), F.when(at > 0, at - 1), F.when(F.size(names) > 1, 1).otherwise(0))
 
 
 def safe_int(value: Column, default: int) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(default))
 
 
-def class_name(class_id: Column) -> Column:
-    return F.when(class_id == 0, "background").when(class_id == 1, WANTED).otherwise(class_id.cast("string"))
+def class_name(class_id: Column, wanted: str = WANTED) -> Column:
+    return F.when(class_id == 0, "background").when(class_id == 1, wanted).otherwise(class_id.cast("string"))
 
 
 def colour_index(class_id: Column, size: int = 10) -> Column:
@@ -105,9 +107,9 @@ def merge_json(base: Column, override: Column) -> Column:
     return F.map_concat(kept, override)
 
 
-def own_draft(source: Column, marker: Column, temp_root: str) -> Column:
+def own_draft(source: Column, marker: Column, temp_root: str, session_folder: str = SESSION_FOLDER, session_file: str = SESSION_FILE) -> Column:
     """A session's own layer: marked, or in a session folder, or named so in the temp root itself."""
     parts = F.split(F.regexp_replace(source_path(source), "\\\\", "/"), "/")
     folder, name = F.coalesce(F.get(parts, F.size(parts) - 2), F.lit("")), F.element_at(parts, -1)
     parent = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
-    return (F.coalesce(marker, F.lit("")) == "1") | F.startswith(folder, F.lit(SESSION_FOLDER)) | (F.startswith(name, F.lit(SESSION_FILE)) & (parent == temp_root.rstrip("/")))
+    return (F.coalesce(marker, F.lit("")) == "1") | F.startswith(folder, F.lit(session_folder)) | (F.startswith(name, F.lit(session_file)) & (parent == temp_root.rstrip("/")))

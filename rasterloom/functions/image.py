@@ -49,10 +49,13 @@ def to_rgb(pixels: DataFrame, order: str = "bgr") -> DataFrame:
 
 
 def softmax(logits: Column, index: int) -> Column:
-    """Probability of one class of an array of logits; an index past its end is null."""
+    """Probability of one class of an array of logits; an index outside it is an error."""
+    if index < 0:
+        raise ValueError("a class index counts from 0")
     top = F.array_max(logits)
     total = F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)
-    return F.exp(F.try_element_at(logits, F.lit(index + 1)) - top) / total
+    short = F.raise_error(F.concat(F.lit(f"no class {index} among "), F.size(logits).cast("string"))).cast("double")
+    return F.when(F.size(logits) <= index, short).otherwise(F.exp(F.get(logits, F.lit(index)) - top) / total)
 
 
 def resize_nearest(pixels: DataFrame, height: int, width: int, new_height: int, new_width: int, grid: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def sizes(labels: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def records(labels: DataFrame, width: int, height: int) -> DataFrame:
-    """sizes with comp_id, which numbers components by their first pixel."""
+    """sizes with comp_id, which numbers components by their first pixel, tile by tile of the labelling."""
     return global_rank(sizes(labels, width, height), ["label"], "comp_id")
 
 

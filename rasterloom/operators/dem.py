@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import stencil
 from rasterloom.operators.stats import finite
-from rasterloom.operators.tiling import Affine, halo_pixels
+from rasterloom.operators.tiling import Affine
 
 #: Names in order and the methods that a contract may state.
 FACTORS = ("slope", "aspect_sin", "aspect_cos", "tpi", "relief")
@@ -22,8 +22,9 @@ METHODS = {"slope": "gradient", "aspect_sin": "aspect_sin", "aspect_cos": "aspec
 MAX_WINDOW_CELLS = 16 * 1024 * 1024
 
 
-def factors(dem: DataFrame, tpi_size: int, relief_size: int, pixel_x: float = 1.0, pixel_y: float = 1.0) -> DataFrame:
-    """row, col, z -> the five factors. Windows along rows and columns are shared by all factors that need them."""
+def factors(dem: DataFrame, tpi_size: int | tuple[int, int], relief_size: int | tuple[int, int], pixel_x: float = 1.0, pixel_y: float = 1.0) -> DataFrame:
+    """row, col, z -> the five factors. Sizes are cells of a square window, or across and
+    down. Windows along rows and columns are shared by all factors that need them."""
     z = dem.select("row", "col", finite(F.col("z").cast("double")).alias("z"))
     z = stencil.gradient(z, "z", pixel_x, pixel_y)
     z = stencil.focal(z, "z", tpi_size, _mean="mean")
@@ -55,26 +56,46 @@ def align(dem: DataFrame, grid: DataFrame, source: Affine, target: Affine) -> Da
     return hit.groupBy("row", "col").agg((F.sum(weight * F.col("z")) / F.sum(weight)).alias("z"))
 
 
-def nearest_fill(dem: DataFrame, width: int, height: int, block: int = 256, reach: int = 64) -> DataFrame:
-    """row, col, z, dem_filled: nulls take the nearest value (Euclidean; ties: upper row, then left column) within reach.
+def nearest_fill(dem: DataFrame) -> DataFrame:
+    """row, col, z, dem_filled: nulls take the value of the nearest cell that has one, however far (Euclidean in cells;
+    ties: upper row, then left column). A grid without any value stays null.
 
-    One pass over tiles with a halo of reach; what is still null then is far from any value and is handled by
-    passing the result again with a greater reach.
+    Two passes: window frames find the nearest value above and below each cell; then in each row every null cell looks at
+    its neighbours' finds, sideways as far as a nearer one can lie. A task holds one row.
     """
+    clean = dem.select("row", "col", finite(F.col("z").cast("double")).alias("z"))
+    found = F.when(F.col("z").isNotNull(), F.struct(F.col("row").alias("at"), "z"))
+    column = Window.partitionBy("col").orderBy("row")
+    up = F.last(found, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(found, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    near = clean.withColumn("_up", up).withColumn("_down", down)
+    above, below = F.col("row") - F.col("_up.at"), F.col("_down.at") - F.col("row")
+    near = near.withColumn("_take", F.when(F.col("_down").isNull() | (above <= below), F.col("_up")).otherwise(F.col("_down")))
+    near = near.select("row", "col", "z", F.col("_take.at").alias("src"), F.col("_take.z").alias("value"))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf["z"].to_numpy(dtype="float64", na_value=np.nan)
-        r, c, core = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["core"].to_numpy()
-        bad = np.isnan(z) & core
-        have = np.flatnonzero(~np.isnan(z))
-        have = have[np.lexsort((c[have], r[have]))]
-        for i in np.flatnonzero(bad):
-            if len(have):
-                d = (r[have] - r[i]) ** 2 + (c[have] - c[i]) ** 2
-                k = int(np.argmin(d))
-                if d[k] <= reach * reach:
-                    z[i] = z[have[k]]
-        out = pd.DataFrame({"row": r, "col": c, "z": z, "dem_filled": bad})[core]
+        pdf = pdf.sort_values("col", ignore_index=True)
+        row, col = int(pdf["row"].iloc[0]), pdf["col"].to_numpy(np.int64)
+        z, value, src = (pdf[c].to_numpy("float64", na_value=np.nan) for c in ("z", "value", "src"))
+        todo = np.flatnonzero(np.isnan(z))
+        best = np.where(np.isnan(src[todo]), np.inf, (src[todo] - row) ** 2)
+        from_row, from_col, take = np.where(np.isnan(src[todo]), np.inf, src[todo]), col[todo].astype(float), value[todo]
+        at, step = np.arange(len(todo)), 0
+        while len(at):
+            step += 1
+            for side in (-1, 1):
+                other = todo[at] + side * step
+                ok = (other >= 0) & (other < len(col))
+                mine, other = at[ok], other[ok]
+                apart = (col[other] - col[todo[mine]]).astype(float)
+                d = np.where(np.isnan(src[other]), np.inf, (src[other] - row) ** 2) + apart**2
+                tie = (d == best[mine]) & ((src[other] < from_row[mine]) | (src[other] == from_row[mine]) & (col[other] < from_col[mine]))
+                won = (d < best[mine]) | tie & np.isfinite(d)
+                best[mine[won]], from_row[mine[won]], from_col[mine[won]], take[mine[won]] = d[won], src[other[won]], col[other[won]], value[other[won]]
+            at = at[(step < np.sqrt(best[at])) & ((todo[at] - step > 0) | (todo[at] + step < len(col) - 1))]
+        z[todo] = take
+        out = pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "z": z, "dem_filled": False})
+        out.loc[todo, "dem_filled"] = True
         return out.astype({"z": object}).where(out["z"].notna(), None) if out["z"].isna().any() else out
 
-    clean = dem.select("row", "col", finite(F.col("z").cast("double")).alias("z"))
-    return halo_pixels(clean, block, reach, width, height).groupBy("block_row", "block_col").applyInPandas(run, "row int, col int, z double, dem_filled boolean")
+    return near.groupBy("row").applyInPandas(run, "row int, col int, z double, dem_filled boolean")

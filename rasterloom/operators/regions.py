@@ -7,6 +7,7 @@ joins on (row, col). Exports live on the same grid; shapes off the grid are rast
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from rasterloom.operators.ranking import global_rank
 
 #: The draft's columns, origins, class, and attempts at a fusion.
 DRAFT = "class_id int, class_name string, source_id int, feature_uuid string, origin string, run_id string"
-CLASS_ID, CLASS_NAME, USER, INFERENCE, ATTEMPTS = 1, "landslide", "user", "inference", 3
+CLASS_ID, CLASS_NAME, USER, INFERENCE, ATTEMPTS = 1, "target", "user", "inference", 3
 KEY = ["row", "col"]
 
 
@@ -25,10 +26,18 @@ def cells_of(features: DataFrame, origin: str | None = None) -> DataFrame:
     return rows.select(*KEY).distinct()
 
 
+def run_order(run_id: Column) -> Column:
+    """Runs in order: by the name before a final number, then by that number, so r9 comes before r10."""
+    digits = F.regexp_extract(run_id, r"(\d{1,18})$", 1)
+    return F.struct(F.regexp_replace(run_id, r"\d{1,18}$", "").alias("name"), F.coalesce(digits.try_cast("long"), F.lit(-1)).alias("number"), run_id.alias("run_id"))
+
+
 def compose(users: DataFrame, inference: DataFrame) -> DataFrame:
-    """users and (inference - users): row, col, origin, run_id. Inference cells keep one run (the last by name)."""
+    """users and (inference - users): row, col, origin, run_id. Of several runs a cell keeps the latest: by a column
+    run_at if inference has one, else by run_order."""
     mine = users.select(*KEY).distinct().select(*KEY, F.lit(USER).alias("origin"), F.lit(None).cast("string").alias("run_id"))
-    theirs = inference.groupBy(*KEY).agg(F.max("run_id").alias("run_id")).join(mine.select(*KEY), KEY, "left_anti")
+    latest = F.col("run_at") if "run_at" in inference.columns else run_order(F.col("run_id"))
+    theirs = inference.groupBy(*KEY).agg(F.max_by("run_id", latest).alias("run_id")).join(mine.select(*KEY), KEY, "left_anti")
     return mine.unionByName(theirs.select(*KEY, F.lit(INFERENCE).alias("origin"), "run_id"))
 
 
@@ -102,8 +111,9 @@ def require_draft(features: DataFrame) -> DataFrame:
 class DraftSession:
     """Versions of a draft as Parquet folders and a pointer; publishing writes a new version, then moves the pointer.
 
-    The pointer is a small JSON file written through the cluster's file system, so any store will do. A failed write
-    leaves the pointer, and so the current draft, untouched.
+    The pointer is a small JSON file written through the cluster's file system, so any store will do: beside the old one,
+    which it then replaces by renaming. A failed write leaves the old pointer, and so the current draft, untouched. A pointer
+    that is there but cannot be read is an error, not an empty draft.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -119,13 +129,37 @@ class DraftSession:
         fs, path = self._path()
         if not fs.exists(path):
             return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/pointer.json").collect()))
+        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/pointer.json").collect())
+        if not text.strip():
+            return None if self._last() == 0 else {"current": self._last(), "exported": None, "undo": None, "last": self._last()}
+        return json.loads(text)
+
+    def _last(self) -> int:
+        """The number of the last version that is written whole."""
+        fs, path = self._path()
+        parts = fs.globStatus(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/generation_*/_SUCCESS"))
+        return max((int(p.getPath().getParent().getName().split("_")[1]) for p in parts), default=0)
 
     def _write(self, **change) -> None:
-        self.state = self.state | change
+        state = self.state | change
         fs, path = self._path()
+        jvm = self.spark.sparkContext._jvm
+        beside = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointer.json.{uuid.uuid4().hex}.tmp")
+        try:
+            self._put(fs, beside, json.dumps(state).encode())
+            option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            options = self.spark.sparkContext._gateway.new_array(option, 1)
+            options[0] = option.OVERWRITE
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(fs.makeQualified(beside), fs.makeQualified(path), options)
+        finally:
+            fs.delete(beside, False)
+        self.state = state
+
+    @staticmethod
+    def _put(fs, path, data: bytes) -> None:
         out = fs.create(path, True)
-        out.write(bytearray(json.dumps(self.state).encode()))
+        out.write(bytearray(data))
         out.close()
 
     def version_path(self, version: int) -> str:

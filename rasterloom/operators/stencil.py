@@ -20,31 +20,40 @@ from rasterloom.operators.tiling import halo_pixels
 
 def _odd(size: int) -> int:
     if size < 1 or size % 2 == 0:
-        raise ValueError("a structuring element needs an odd side")
+        raise ValueError("a focal window needs an odd side")
     return size // 2
 
 
-def _frame(axis: str, radius: int):
+def reach(size: int, kind: str) -> tuple[int, int]:
+    """Cells before and after that an element of any side covers: an even one reaches further back when it erodes and
+    further on when it dilates, so closing and opening do not move."""
+    if size < 1:
+        raise ValueError("a structuring element needs a side of at least 1")
+    back, on = size // 2, size - 1 - size // 2
+    return (back, on) if kind == "erode" else (on, back)
+
+
+def _frame(axis: str, before: int, after: int):
     part, order = ("row", "col") if axis == "row" else ("col", "row")
-    return Window.partitionBy(part).orderBy(order).rangeBetween(-radius, radius)
+    return Window.partitionBy(part).orderBy(order).rangeBetween(-before, after)
 
 
-def _pass(mask: DataFrame, axis: str, radius: int, kind: str) -> DataFrame:
-    w = _frame(axis, radius)
+def _pass(mask: DataFrame, axis: str, size: int, kind: str) -> DataFrame:
+    w = _frame(axis, *reach(size, kind))
     if kind == "dilate":
         return mask.withColumn("m", F.max("m").over(w))
-    return mask.withColumn("m", F.when(F.count("m").over(w) < 2 * radius + 1, F.lit(0)).otherwise(F.min("m").over(w)))
+    return mask.withColumn("m", F.when(F.count("m").over(w) < size, F.lit(0)).otherwise(F.min("m").over(w)))
 
 
 def dilate(mask: DataFrame, size: int, axes: tuple[str, str] = ("row", "col")) -> DataFrame:
     for axis in axes:
-        mask = _pass(mask, axis, _odd(size), "dilate")
+        mask = _pass(mask, axis, size, "dilate")
     return mask
 
 
 def erode(mask: DataFrame, size: int, axes: tuple[str, str] = ("row", "col")) -> DataFrame:
     for axis in axes:
-        mask = _pass(mask, axis, _odd(size), "erode")
+        mask = _pass(mask, axis, size, "erode")
     return mask
 
 
@@ -75,13 +84,13 @@ def smooth(mask: DataFrame, size: int = 3) -> DataFrame:
     return _masked(_open(_close(mask, size), size))
 
 
-def focal(pixels: DataFrame, value: str, size: int, **aggregates: str) -> DataFrame:
-    """Add focal sum, count, min and max columns over a size x size window cut off at the image's edge.
+def focal(pixels: DataFrame, value: str, size: int | tuple[int, int], **aggregates: str) -> DataFrame:
+    """Add focal means, minima and maxima over a window of size x size (or across x down) cut off at the image's edge.
 
     aggregates: new column -> "mean" | "min" | "max". Nulls are left out.
     """
-    r = _odd(size)
-    along, across = _frame("row", r), _frame("col", r)
+    r, s = map(_odd, size if isinstance(size, tuple) else (size, size))
+    along, across = _frame("row", r, r), _frame("col", s, s)
     first, second, final = {}, {}, {}
     for out, kind in aggregates.items():
         if kind == "mean":
@@ -134,16 +143,13 @@ def apply_tiles(pixels: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.nda
 
 def morphology(grid: np.ndarray, size: int, kind: str) -> np.ndarray:
     """dilate | erode | close | open | smooth of a 0/1 array, background outside."""
-    r = _odd(size)
-
-    def slide(a: np.ndarray, op) -> np.ndarray:
+    def slide(a: np.ndarray, step: str) -> np.ndarray:
         for axis in (0, 1):
-            pad = [(r, r) if i == axis else (0, 0) for i in range(2)]
-            wide = np.pad(a, pad)
-            a = op(np.stack([np.take(wide, range(i, i + a.shape[axis]), axis=axis) for i in range(2 * r + 1)]), axis=0)
+            wide = np.pad(a, [reach(size, "dilate" if step == "d" else "erode") if i == axis else (0, 0) for i in range(2)])
+            a = (np.max if step == "d" else np.min)(np.stack([np.take(wide, range(i, i + a.shape[axis]), axis=axis) for i in range(size)]), axis=0)
         return a
 
     steps = {"dilate": "d", "erode": "e", "close": "de", "open": "ed", "smooth": "deed"}[kind]
     for s in steps:
-        grid = slide(grid, np.max if s == "d" else np.min)
+        grid = slide(grid, s)
     return grid

@@ -18,8 +18,8 @@ def _manifests(spark: SparkSession, d: str) -> DataFrame:
     """A JSON manifest per part: labels, framework and task vary with the key."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     k = F.col("id")
-    names = F.when(k % 4 == 0, '["background"," LandSlide "]').when(k % 4 == 1, '["landslide","background"]').when(k % 4 == 2, '["background","road"]').otherwise('["landslide","Landslide"]')
-    text = F.concat(F.lit('{"framework":"'), F.when(k % 5 == 0, "other").otherwise("pytorch"), F.lit('","task":"semantic_segmentation","name":"m'), (k % 3).cast("string"), F.lit('","class_names":'), names, F.when(k % 7 == 0, ',"landslide_class_id":1}').otherwise("}"))
+    names = F.when(k % 4 == 0, '["background"," TarGet "]').when(k % 4 == 1, '["target","background"]').when(k % 4 == 2, '["background","road"]').otherwise('["target","Target"]')
+    text = F.concat(F.lit('{"framework":"'), F.when(k % 5 == 0, "other").otherwise("torch"), F.lit('","task":"segmentation","name":"m'), (k % 3).cast("string"), F.lit('","class_names":'), names, F.when(k % 7 == 0, ',"target_class_id":1}').otherwise("}"))
     return p.select("id", F.when(k % 13 == 0, "{broken").otherwise(text).alias("manifest"))
 
 
@@ -49,14 +49,14 @@ CONFIG_MERGE = "SELECT event_id, CAST(coalesce(TRY_CAST(json_extract_string(prop
 def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as one log per source."""
     docs = table(spark, d, "documents")
-    lines = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("seq", F.col("doc_id") * 100000 + F.col("at"))
+    lines = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("seq", F.struct("doc_id", "at"))
     return protocol.diagnostics_report(protocol.diagnostics(lines, ["source"], "seq"), ["source"])
 
 
 DIAGNOSTICS = """WITH s AS (SELECT source, doc_id, string_split(text, chr(10)) AS u FROM documents),
-l AS (SELECT source, doc_id * 100000 + generate_subscripts(u, 1) AS seq, unnest(u) AS line FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, line ORDER BY seq) > 1 AS rep FROM l),
-c AS (SELECT *, sum(CAST(NOT rep AS INTEGER)) OVER w AS n, sum(CASE WHEN rep THEN 0 ELSE length(line) END) OVER w AS ch FROM r WINDOW w AS (PARTITION BY source ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT source, doc_id, generate_subscripts(u, 1) AS nth, unnest(u) AS line FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, line ORDER BY doc_id, nth) > 1 AS rep FROM l),
+c AS (SELECT *, sum(CAST(NOT rep AS INTEGER)) OVER w AS n, sum(CASE WHEN rep THEN 0 ELSE length(line) END) OVER w AS ch FROM r WINDOW w AS (PARTITION BY source ORDER BY doc_id, nth ROWS UNBOUNDED PRECEDING)),
 k AS (SELECT *, NOT rep AND n <= 256 AND ch <= 65536 AS kept FROM c)
 SELECT source, count(*) FILTER (kept) AS kept, count(*) FILTER (rep) AS repeats, count(*) FILTER (NOT rep AND NOT kept) AS dropped FROM k GROUP BY source"""
 
@@ -117,19 +117,6 @@ MODEL_PREDICT = f"WITH {fx.PROB_SQL} SELECT row, count(*) FILTER (valid) AS n, r
 
 
 def affine_points(spark: SparkSession, d: str) -> DataFrame:
-    """Pixel centres to map and back."""
-    t = Affine(2.0, 0.5, 1000.0, 0.25, -2.0, 5000.0)
-    g = fx.grid(spark, d).filter("row < 100")
-    x, y = t.to_map(F.col("col") + 0.5, F.col("row") + 0.5)
-    c, r = t.to_pixel(x, y)
-    return g.select("row", "col", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(c, 6).alias("back_col"), F.round(r, 6).alias("back_row"))
-
-
-AFFINE_POINTS = f"""WITH {fx.PROB_SQL} SELECT row, col, CAST(round(2.0 * (col + 0.5) + 0.5 * (row + 0.5) + 1000, 6) AS DOUBLE) AS x, CAST(round(0.25 * (col + 0.5) - 2.0 * (row + 0.5) + 5000, 6) AS DOUBLE) AS y,
- CAST(col + 0.5 AS DOUBLE) AS back_col, CAST(row + 0.5 AS DOUBLE) AS back_row FROM prob WHERE row < 100"""
-
-
-def affine_points_all(spark: SparkSession, d: str) -> DataFrame:
     """All pixel centres to map and back."""
     t = Affine(2.0, 0.5, 1000.0, 0.25, -2.0, 5000.0)
     g = fx.grid(spark, d)
@@ -138,7 +125,7 @@ def affine_points_all(spark: SparkSession, d: str) -> DataFrame:
     return g.select("row", "col", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(c, 6).alias("back_col"), F.round(r, 6).alias("back_row"))
 
 
-AFFINE_POINTS_ALL = f"""WITH {fx.PROB_SQL} SELECT row, col, CAST(round(2.0 * (col + 0.5) + 0.5 * (row + 0.5) + 1000, 6) AS DOUBLE) AS x, CAST(round(0.25 * (col + 0.5) - 2.0 * (row + 0.5) + 5000, 6) AS DOUBLE) AS y,
+AFFINE_POINTS = f"""WITH {fx.PROB_SQL} SELECT row, col, CAST(round(2.0 * (col + 0.5) + 0.5 * (row + 0.5) + 1000, 6) AS DOUBLE) AS x, CAST(round(0.25 * (col + 0.5) - 2.0 * (row + 0.5) + 5000, 6) AS DOUBLE) AS y,
  CAST(col + 0.5 AS DOUBLE) AS back_col, CAST(row + 0.5 AS DOUBLE) AS back_row FROM prob"""
 
 
@@ -162,9 +149,9 @@ def prompt_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bundle_scan": bundle_scan, "config_merge": config_merge, "diagnostics": diagnostics, "progress_events": progress_events, "normalize_image": normalize_image, "percentile_stretch": percentile_stretch,
-    "model_softmax": model_softmax, "model_predict": model_predict, "affine_points": affine_points, "affine_points_all": affine_points_all, "layer_names": layer_names, "prompt_sessions": prompt_sessions,
+    "model_softmax": model_softmax, "model_predict": model_predict, "affine_points": affine_points, "layer_names": layer_names, "prompt_sessions": prompt_sessions,
 }
 ORACLE_SQL = {
     "bundle_scan": BUNDLE_SCAN, "config_merge": CONFIG_MERGE, "diagnostics": DIAGNOSTICS, "progress_events": PROGRESS_EVENTS, "normalize_image": NORMALIZE_IMAGE, "percentile_stretch": PERCENTILE_STRETCH,
-    "model_softmax": MODEL_SOFTMAX, "model_predict": MODEL_PREDICT, "affine_points": AFFINE_POINTS, "affine_points_all": AFFINE_POINTS_ALL, "layer_names": LAYER_NAMES,
+    "model_softmax": MODEL_SOFTMAX, "model_predict": MODEL_PREDICT, "affine_points": AFFINE_POINTS, "layer_names": LAYER_NAMES,
 }

@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import components, rules, stats, stencil
+from rasterloom.operators.tiling import BLOCK
 from rasterloom.session import materialize
 
 #: Defaults of the stages.
-DEFAULTS = {"threshold": 0.5, "morph_closing": False, "morph_closing_size": 5, "fill_holes": False, "max_hole_area_m2": 0.0, "smooth_boundary": False, "smooth_boundary_size": 3, "morph_opening": True, "morph_opening_size": 3, "min_area_m2": 500.0}
+DEFAULTS = {"threshold": 0.5, "morph_closing": False, "morph_close_size": 5, "fill_holes": False, "max_hole_area_m2": 0.0, "smooth_boundary": False, "smooth_size": 3, "morph_opening": True, "morph_open_size": 3, "min_area_m2": 500.0}
+#: Other names of the same settings, and the document's version marks.
+ALIASES = {"prob_threshold": "threshold", "closing_size": "morph_close_size", "smooth_boundary_size": "smooth_size", "opening_size": "morph_open_size"}
+CONTRACT, METHOD = "explicit_dem_factors_v3", "streaming_histogram_10000_bins"
+STAGE_NAMES = {"threshold": "threshold_pixel_count", "closing": "post_closing_pixel_count", "fill": "post_fill_holes_pixel_count", "smooth": "post_smooth_pixel_count", "opening": "post_opening_pixel_count"}
+
+
+def settings(config: dict) -> dict:
+    """Defaults under the config; an alias counts where the setting's own name is not given; sizes are whole numbers of at
+    least 1, and a size that no stage reads is an error."""
+    unknown = {k for k in config if k.endswith("_size")} - {*DEFAULTS, *ALIASES}
+    if unknown:
+        raise ValueError(f"no stage reads {sorted(unknown)}")
+    out = DEFAULTS | {ALIASES[k]: v for k, v in config.items() if k in ALIASES} | {k: v for k, v in config.items() if k not in ALIASES}
+    return out | {k: max(1, int(out[k])) for k in ("morph_close_size", "smooth_size", "morph_open_size")}
 
 
 @dataclass
@@ -31,24 +47,24 @@ def merged(base: dict, overrides: dict | None) -> dict:
     return out
 
 
-def masks(pixels: DataFrame, config: dict, width: int, height: int, pixel_area: float = 1.0) -> list[tuple[str, DataFrame]]:
+def masks(pixels: DataFrame, config: dict, width: int, height: int, pixel_area: float = 1.0, block: int = BLOCK) -> list[tuple[str, DataFrame]]:
     """(stage, mask) in order; a disabled stage repeats the mask before it. pixels: row, col, p[, valid], dense."""
-    c = DEFAULTS | config
+    c = settings(config)
     valid = F.coalesce(F.col("valid"), F.lit(False)) if "valid" in pixels.columns else F.lit(True)
     now = pixels.select("row", "col", (stats.above(F.col("p"), c["threshold"]) & valid).cast("int").alias("m"), valid.alias("valid"))
     out = [("threshold", now)]
     if c["morph_closing"]:
-        now = stencil.closing(now, c["morph_closing_size"])
+        now = stencil.closing(now, c["morph_close_size"])
     out.append(("closing", now))
     if c["fill_holes"]:
         now = materialize(now, "mask-closed")
-        now = materialize(components.fill_holes(now, components.hole_limit(c["max_hole_area_m2"], pixel_area), width, height), "mask-filled")
+        now = materialize(components.fill_holes(now, components.hole_limit(c["max_hole_area_m2"], pixel_area), width, height, block), "mask-filled")
     out.append(("fill", now))
     if c["smooth_boundary"]:
-        now = stencil.smooth(now, c["smooth_boundary_size"])
+        now = stencil.smooth(now, c["smooth_size"])
     out.append(("smooth", now))
     if c["morph_opening"]:
-        now = stencil.opening(now, c["morph_opening_size"])
+        now = stencil.opening(now, c["morph_open_size"])
     out.append(("opening", now))
     return out
 
@@ -61,11 +77,11 @@ def stage_counts(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
-def run(pixels: DataFrame, factors: DataFrame | None, filled: DataFrame | None, config: dict, width: int, height: int, pixel_area: float = 1.0) -> Result:
-    """Factors are joined only if a rule is enabled."""
-    stages = masks(pixels, config, width, height, pixel_area)
+def run(pixels: DataFrame, factors: DataFrame | None, filled: DataFrame | None, config: dict, width: int, height: int, pixel_area: float = 1.0, block: int = BLOCK) -> Result:
+    """Factors are joined only if a rule is enabled. block: side of the tiles in which components are labelled."""
+    stages = masks(pixels, config, width, height, pixel_area, block)
     mask = stages[-1][1]
-    labels = materialize(components.label(mask.filter("m = 1").select("row", "col")), "labels")
+    labels = materialize(components.label(mask.filter("m = 1").select("row", "col"), 8, block), "labels")
     enabled = rules.ordered_rules(config) if config.get("rules") else []
     if enabled and factors is not None:
         zones = rules.zonal_stats(labels, factors, filled, sorted({r["factor"] for r in enabled}), sorted({r["stat"] for r in enabled}))
@@ -80,12 +96,43 @@ def run(pixels: DataFrame, factors: DataFrame | None, filled: DataFrame | None,
 
 
 def audit_summary(result: Result, config: dict) -> DataFrame:
-    kept = F.count_if(F.col("decision") == "keep")
-    return result.decisions.agg(F.count("*").alias("components"), kept.alias("kept"), (F.count("*") - kept).alias("dropped")).withColumn("threshold", F.lit(float(config.get("threshold", 0.5)))).withColumn("percentile_method", F.lit("streaming_histogram_10000_bins"))
+    """One row: how many components there are, are kept and dropped, pixels after each stage, and the settings."""
+    c, kept = settings(config), F.count_if(F.col("decision") == "keep")
+    out = result.decisions.agg(F.count("*").alias("component_count"), kept.alias("kept"), (F.count("*") - kept).alias("dropped"))
+    counts = stage_counts(result.stages).agg(*[F.max(F.when(F.col("stage") == k, F.col("pixels"))).alias(v) for k, v in STAGE_NAMES.items()])
+    return out.crossJoin(F.broadcast(counts)).withColumns({"threshold": F.lit(float(c["threshold"])), "min_area_m2": F.lit(float(c["min_area_m2"])), "prob_stats_method": F.lit(METHOD)})
 
 
-def audit_document(result: Result, summary: DataFrame) -> DataFrame:
+def audit_document(result: Result, summary: DataFrame | None = None) -> DataFrame:
     """One JSON line per component in comp_id order, and the summary: written apart, so no array of all components is
     ever gathered in a task."""
     columns = ["comp_id", "pixel_count", "area_m2", "threshold", "rule_evaluations", "dem_fill_fraction", "decision", "rule", "rules_skipped"]
     return result.decisions.orderBy("comp_id").select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+def write_audit(result: Result, config: dict, pixels: DataFrame, path: str, runtime: dict | None = None) -> dict:
+    """Write the document under path: summary (one JSON object) and components (JSON lines in comp_id order). Returns
+    the summary. runtime: runtime_resolution, resolution_warnings and inference, as the caller knows them."""
+    spark, c, known = pixels.sparkSession, settings(config), runtime or {}
+    numbers = audit_summary(result, config).first().asDict()
+    probability = stats.probability_stats(pixels, c["threshold"]).first().asDict()
+    percents = {f"p{r['percent']}": r["value"] for r in stats.histogram_percentiles(stats.probability_histogram(pixels)).collect()}
+    rules_ = config.get("rules") or {}
+    summary = {
+        "schema_version": int(config.get("schema_version", 1)), "contract": CONTRACT, "dem_factors": config.get("dem_factors"), "training_data": config.get("training_data"),
+        "runtime_resolution": known.get("runtime_resolution", {}), "resolution_warnings": known.get("resolution_warnings", []), "inference": known.get("inference"),
+        "rules": rules_, "rule_order": config.get("rule_order", list(rules_)), "prob_stats": {k: probability[k] for k in ("min", "max", "mean")} | percents, **numbers,
+    }
+    audit_document(result).write.mode("overwrite").text(f"{path}/components")
+    spark.createDataFrame([(json.dumps(summary, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    return summary
+
+
+def in_memory(pixels: DataFrame, config: dict, width: int, height: int, pixel_area: float = 1.0, limit: int = 16 * 1024 * 1024) -> tuple[Result, DataFrame]:
+    """The path for small rasters with its own rules: more than `limit` pixels are refused, percentiles are exact, and a
+    hole limit of 0 fills every hole. (result, percentiles)."""
+    if width * height > limit:
+        raise ValueError(f"{width} x {height} pixels are over {limit}: use run()")
+    area = float(settings(config)["max_hole_area_m2"])
+    whole = config | ({"max_hole_area_m2": width * height * pixel_area} if area == 0 else {})
+    return run(pixels, None, None, whole | {"rules": {}, "rule_order": []}, width, height, pixel_area), stats.exact_percentiles(pixels)

@@ -28,12 +28,19 @@ CONFIG = {
 MASK = f"mask AS MATERIALIZED (SELECT row, col, CAST(p >= CAST({fx.THRESHOLD} AS FLOAT) AND isfinite(p) AS INTEGER) AS m, valid FROM prob)"
 
 
+#: Side of the tiles of these queries: rasters here are 64 wide.
+SIDE = 32
+#: Order of pixels, tile by tile: components are numbered by their first one.
+FIRST = "((row // 32) * 2 + col // 32) * 1024 + row % 32 * 32 + col % 32"
+
+
 def _mask(spark: SparkSession, d: str) -> DataFrame:
     return fx.prob(spark, d).select("row", "col", stats.above(F.col("p"), fx.THRESHOLD).cast("int").alias("m"), "valid")
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
-    return components.label(_mask(spark, d).filter("m = 1").select("row", "col"))
+    """In tiles of 32 x 32, so that components cross their borders."""
+    return components.label(_mask(spark, d).filter("m = 1").select("row", "col"), 8, SIDE)
 
 
 def _first(labels: DataFrame) -> DataFrame:
@@ -123,21 +130,23 @@ def _morph(op):
     return lambda spark, d: op(_mask(spark, d)).filter("m = 1").select("row", "col")
 
 
-def _slide(source: str, out: str, kind: str, r: int, axes: tuple[str, str] = ("row", "col")) -> str:
+def _slide(source: str, out: str, kind: str, r: int | tuple[int, int], axes: tuple[str, str] = ("row", "col")) -> str:
     """CTEs of one separable pass pair in SQL."""
     ctes, now = [], source
+    back, on = r if isinstance(r, tuple) else (r, r)
     for i, axis in enumerate(axes):
         part, order = ("row", "col") if axis == "row" else ("col", "row")
-        w = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)"
-        expr = f"max(m) OVER {w}" if kind == "dilate" else f"CASE WHEN count(*) OVER {w} < {2 * r + 1} THEN 0 ELSE min(m) OVER {w} END"
+        w = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {back} PRECEDING AND {on} FOLLOWING)"
+        expr = f"max(m) OVER {w}" if kind == "dilate" else f"CASE WHEN count(*) OVER {w} < {back + on + 1} THEN 0 ELSE min(m) OVER {w} END"
         name = f"{out}{i}"
         ctes.append(f"{name} AS (SELECT row, col, {expr} AS m, valid FROM {now})")
         now = name
     return ", ".join(ctes)
 
 
-def _morph_sql(steps: list[tuple[str, int]]) -> str:
-    ctes, now = [f"WITH {fx.PROB_SQL}", MASK], "mask"
+def _morph_sql(steps: list[tuple[str, int | tuple[int, int]]], mask: str = "mask") -> str:
+    """mask: mask, or dark, its complement."""
+    ctes, now = [f"WITH {fx.PROB_SQL}", MASK, "dark AS (SELECT row, col, 1 - m AS m, valid FROM mask)"], mask
     for i, (kind, r) in enumerate(steps):
         ctes.append(_slide(now, f"s{i}_", kind, r))
         now = f"s{i}_1"
@@ -164,7 +173,7 @@ def component_records(spark: SparkSession, d: str) -> DataFrame:
 
 COMPONENT_RECORDS = f"""WITH RECURSIVE {fx.PROB_SQL}, {MASK}, fg AS MATERIALIZED (SELECT row, col FROM mask WHERE m = 1), {fx.components_sql('fg')},
 n AS (SELECT max(row) AS last FROM prob)
-SELECT CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS comp_id, count(*) AS pixel_count, bool_or(row = 0 OR col = 0 OR col = 63 OR row = last) AS border
+SELECT CAST(row_number() OVER (ORDER BY min({FIRST})) AS INTEGER) AS comp_id, count(*) AS pixel_count, bool_or(row = 0 OR col = 0 OR col = 63 OR row = last) AS border
 FROM lab, n GROUP BY label"""
 
 
@@ -175,13 +184,13 @@ def kept_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 KEPT_COMPONENTS = f"""WITH RECURSIVE {fx.PROB_SQL}, {MASK}, fg AS MATERIALIZED (SELECT row, col FROM mask WHERE m = 1), {fx.components_sql('fg')},
-c AS (SELECT CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS comp_id, count(*) AS pixel_count FROM lab GROUP BY label)
+c AS (SELECT CAST(row_number() OVER (ORDER BY min({FIRST})) AS INTEGER) AS comp_id, count(*) AS pixel_count FROM lab GROUP BY label)
 SELECT comp_id, pixel_count, CAST(pixel_count AS DOUBLE) AS area_m2 FROM c WHERE pixel_count >= 5"""
 
 
 def hole_fill(spark: SparkSession, d: str) -> DataFrame:
     closed = materialize(stencil.closing(_mask(spark, d).withColumn("valid", F.lit(True)), 3), "closed")
-    return components.fill_holes(closed, 4, fx.WIDTH, fx.height(spark, d)).filter("m = 1").select("row", "col")
+    return components.fill_holes(closed, 4, fx.WIDTH, fx.height(spark, d), SIDE).filter("m = 1").select("row", "col")
 
 
 HOLE_FILL = f"""WITH RECURSIVE {fx.PROB_SQL}, {MASK}, {_slide('mask', 'd', 'dilate', 1)}, {_slide('d1', 'e', 'erode', 1)},
@@ -238,17 +247,17 @@ def zonal_stats(spark: SparkSession, d: str) -> DataFrame:
 
 ZONES_CTE = f"""{FACTOR_CTE}, {MASK}, fg AS MATERIALIZED (SELECT row, col FROM mask WHERE m = 1), {fx.components_sql('fg')},
 z AS MATERIALIZED (
-  SELECT label, count(*) AS pixel_count, CAST(sum(CAST(dem_filled AS INTEGER)) AS DOUBLE) / count(*) AS dem_fill_fraction,
+  SELECT label, min({FIRST}) AS first_, count(*) AS pixel_count, CAST(sum(CAST(dem_filled AS INTEGER)) AS DOUBLE) / count(*) AS dem_fill_fraction,
   {", ".join(f"{fn}({c}) AS {c}_{s}" for c in ("slope", "tpi", "relief") for s, fn in (("median", "median"), ("mean", "avg"), ("min", "min"), ("max", "max")))}
   FROM lab JOIN fac USING (row, col) GROUP BY label),
-zid AS (SELECT *, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS comp_id FROM z)"""
+zid AS (SELECT *, CAST(row_number() OVER (ORDER BY first_) AS INTEGER) AS comp_id FROM z)"""
 ZONAL_STATS = ZONES_CTE + " SELECT comp_id, pixel_count, round(dem_fill_fraction, 6) AS dem_fill_fraction, " + ", ".join(f"round({c}_{s}, 6) AS {c}_{s}" for c in ("slope", "tpi", "relief") for s in rules.STATS) + " FROM zid"
 
 
 def _result(spark: SparkSession, d: str) -> postprocess.Result:
     rules.check_contract(CONFIG, dem.FACTORS)
     pixels = fx.prob(spark, d).drop("valid")
-    return postprocess.run(pixels, dem.factors(fx.dem(spark, d), 5, 5), fx.dem_filled(spark, d), CONFIG, fx.WIDTH, fx.height(spark, d))
+    return postprocess.run(pixels, dem.factors(fx.dem(spark, d), 5, 5), fx.dem_filled(spark, d), CONFIG, fx.WIDTH, fx.height(spark, d), block=SIDE)
 
 
 def component_decisions(spark: SparkSession, d: str) -> DataFrame:
@@ -267,34 +276,49 @@ COMPONENT_DECISIONS = DECIDED_CTE + """ SELECT comp_id, pixel_count, round(dem_f
 
 
 def class_raster(spark: SparkSession, d: str) -> DataFrame:
-    return _result(spark, d).class_raster.agg(F.sum("value").alias("kept"), F.count("*").alias("pixels"))
-
-
-CLASS_RASTER = DECIDED_CTE + """ SELECT CAST(sum(CASE WHEN rule IS NULL THEN pixel_count ELSE 0 END) AS BIGINT) AS kept, max(n.pixels) AS pixels
-FROM dec, (SELECT count(*) AS pixels FROM embeddings, generate_series(1, 64) t(i)) n"""
+    """Every pixel."""
+    return _result(spark, d).class_raster.select("row", "col", "value")
 
 
-def class_raster_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Every pixel; its SQL would be slow, so a test compares it with the decisions and labels."""
-    return _result(spark, d).class_raster.select("row", "col", "value")
+CLASS_RASTER = DECIDED_CTE + """, on_ AS MATERIALIZED (SELECT row, col FROM lab JOIN dec USING (label) WHERE rule IS NULL)
+SELECT prob.row, prob.col, CAST(on_.row IS NOT NULL AS INTEGER) AS value FROM prob LEFT JOIN on_ ON on_.row = prob.row AND on_.col = prob.col"""
 
 
 def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return postprocess.audit_summary(_result(spark, d), CONFIG)
 
 
-AUDIT_SUMMARY = DECIDED_CTE + " SELECT count(*) AS components, count(*) FILTER (rule IS NULL) AS kept, count(*) FILTER (rule IS NOT NULL) AS dropped, CAST(0.1 AS DOUBLE) AS threshold, 'streaming_histogram_10000_bins' AS percentile_method FROM dec"
+AUDIT_SUMMARY = DECIDED_CTE + """, n AS (SELECT count(*) AS n FROM fg)
+SELECT count(*) AS component_count, count(*) FILTER (rule IS NULL) AS kept, count(*) FILTER (rule IS NOT NULL) AS dropped, CAST(0.1 AS DOUBLE) AS threshold, CAST(3.0 AS DOUBLE) AS min_area_m2,
+ 'streaming_histogram_10000_bins' AS prob_stats_method, max(n) AS threshold_pixel_count, max(n) AS post_closing_pixel_count, max(n) AS post_fill_holes_pixel_count, max(n) AS post_smooth_pixel_count, max(n) AS post_opening_pixel_count
+FROM dec, n"""
+
+
+def dem_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Elevation with wide gaps, filled from the nearest cell."""
+    z = fx.dem(spark, d).withColumn("z", F.when((F.col("row") % 40 < 8) & (F.col("col") % 16 < 3), F.col("z")))
+    return dem.nearest_fill(z).withColumn("z", F.round("z", 6))
+
+
+DEM_FILL = f"""WITH {fx.PROB_SQL}, {fx.DEM_SQL}, have AS (SELECT row, col, z FROM dem WHERE row % 40 < 8 AND col % 16 < 3),
+near AS (
+  SELECT d.row, d.col, first(h.z ORDER BY (h.row - d.row) * (h.row - d.row) + (h.col - d.col) * (h.col - d.col), h.row, h.col) AS z
+  FROM dem d JOIN have h ON abs(h.row - d.row) <= 40 GROUP BY d.row, d.col)
+SELECT row, col, round(CAST(z AS DOUBLE), 6) AS z, NOT (row % 40 < 8 AND col % 16 < 3) AS dem_filled FROM near"""
 
 
 def stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    config = {"threshold": fx.THRESHOLD, "morph_closing": True, "morph_closing_size": 3, "smooth_boundary": False, "morph_opening": True, "morph_opening_size": 3}
+    config = {"threshold": fx.THRESHOLD, "morph_closing": True, "morph_close_size": 3, "smooth_boundary": True, "smooth_size": 2, "morph_opening": True, "opening_size": 3}
     return postprocess.stage_counts(postprocess.masks(fx.prob(spark, d), config, fx.WIDTH, fx.height(spark, d)))
 
 
 STAGE_COUNTS = f"""WITH {fx.PROB_SQL}, t AS (SELECT row, col, CAST(p >= CAST(0.1 AS FLOAT) AND valid AS INTEGER) AS m, valid FROM prob),
 {_slide('t', 'd', 'dilate', 1)}, {_slide('d1', 'e', 'erode', 1)}, c AS MATERIALIZED (SELECT row, col, CASE WHEN valid THEN m ELSE 0 END AS m, valid FROM e1),
-{_slide('c', 'f', 'erode', 1)}, {_slide('f1', 'g', 'dilate', 1)}, n AS (SELECT (SELECT sum(m) FROM t) AS a, (SELECT sum(m) FROM c) AS b, (SELECT sum(m) FROM g1 WHERE valid) AS o)
-SELECT 'threshold' AS stage, CAST(a AS BIGINT) AS pixels FROM n UNION ALL SELECT unnest(['closing', 'fill', 'smooth']), CAST(b AS BIGINT) FROM n UNION ALL SELECT 'opening', CAST(o AS BIGINT) FROM n"""
+{_slide('c', 'h', 'dilate', (0, 1))}, {_slide('h1', 'i', 'erode', (1, 0))}, {_slide('i1', 'j', 'erode', (1, 0))}, {_slide('j1', 'k', 'dilate', (0, 1))},
+s AS MATERIALIZED (SELECT row, col, CASE WHEN valid THEN m ELSE 0 END AS m, valid FROM k1),
+{_slide('s', 'f', 'erode', 1)}, {_slide('f1', 'g', 'dilate', 1)}, n AS (SELECT (SELECT sum(m) FROM t) AS a, (SELECT sum(m) FROM c) AS b, (SELECT sum(m) FROM s) AS s_, (SELECT sum(m) FROM g1 WHERE valid) AS o)
+SELECT 'threshold' AS stage, CAST(a AS BIGINT) AS pixels FROM n UNION ALL SELECT unnest(['closing', 'fill']), CAST(b AS BIGINT) FROM n
+UNION ALL SELECT 'smooth', CAST(s_ AS BIGINT) FROM n UNION ALL SELECT 'opening', CAST(o AS BIGINT) FROM n"""
 
 
 def multiband_valid(spark: SparkSession, d: str) -> DataFrame:
@@ -308,14 +332,14 @@ MULTIBAND_VALID = f"WITH {fx.PROB_SQL} SELECT row, col FROM prob WHERE NOT valid
 
 QUERIES = {
     "kept_components": kept_components, "window_plan": window_plan, "roi_window": roi_window, "roi_outputs": roi_outputs, "halo_tiles": halo_tiles, "prob_stats": prob_stats, "prob_histogram": prob_histogram,
-    "prob_percentiles": prob_percentiles, "exact_percentiles": exact_percentiles, "closing3": _morph(lambda m: stencil.closing(m, 3)), "opening3": _morph(lambda m: stencil.opening(m, 3)),
+    "prob_percentiles": prob_percentiles, "exact_percentiles": exact_percentiles, "closing3": _morph(lambda m: stencil.closing(m, 3)), "opening3": _morph(lambda m: stencil.opening(m.withColumn("m", 1 - F.col("m")), 3)), "opening2": _morph(lambda m: stencil.opening(m, 2)), "closing4": _morph(lambda m: stencil.closing(m, 4)),
     "smooth3": _morph(lambda m: stencil.smooth(m, 3)), "tiled_closing": tiled_closing, "stage_counts": stage_counts, "component_labels": component_labels, "component_records": component_records,
-    "hole_fill": hole_fill, "dem_factors": dem_factors, "dem_align": dem_align, "zonal_stats": zonal_stats, "component_decisions": component_decisions, "class_raster": class_raster, "class_raster_pixels": class_raster_pixels, "audit_summary": audit_summary, "multiband_valid": multiband_valid,
+    "hole_fill": hole_fill, "dem_factors": dem_factors, "dem_align": dem_align, "dem_fill": dem_fill, "zonal_stats": zonal_stats, "component_decisions": component_decisions, "class_raster": class_raster, "audit_summary": audit_summary, "multiband_valid": multiband_valid,
 }
 ORACLE_SQL = {
     "kept_components": KEPT_COMPONENTS, "window_plan": WINDOW_PLAN, "roi_window": ROI_WINDOW, "roi_outputs": ROI_OUTPUTS, "halo_tiles": HALO_TILES, "prob_stats": PROB_STATS, "prob_histogram": PROB_HISTOGRAM,
-    "prob_percentiles": PROB_PERCENTILES, "exact_percentiles": EXACT_PERCENTILES, "closing3": _morph_sql([("dilate", 1), ("erode", 1)]), "opening3": _morph_sql([("erode", 1), ("dilate", 1)]),
+    "prob_percentiles": PROB_PERCENTILES, "exact_percentiles": EXACT_PERCENTILES, "closing3": _morph_sql([("dilate", 1), ("erode", 1)]), "opening3": _morph_sql([("erode", 1), ("dilate", 1)], "dark"), "opening2": _morph_sql([("erode", (1, 0)), ("dilate", (0, 1))]), "closing4": _morph_sql([("dilate", (1, 2)), ("erode", (2, 1))]),
     "smooth3": _morph_sql([("dilate", 1), ("erode", 1), ("erode", 1), ("dilate", 1)]), "tiled_closing": _morph_sql([("dilate", 1), ("erode", 1)]), "stage_counts": STAGE_COUNTS, "component_labels": COMPONENT_LABELS,
-    "component_records": COMPONENT_RECORDS, "hole_fill": HOLE_FILL, "dem_factors": DEM_FACTORS, "dem_align": DEM_ALIGN, "zonal_stats": ZONAL_STATS, "component_decisions": COMPONENT_DECISIONS, "class_raster": CLASS_RASTER,
+    "component_records": COMPONENT_RECORDS, "hole_fill": HOLE_FILL, "dem_factors": DEM_FACTORS, "dem_align": DEM_ALIGN, "dem_fill": DEM_FILL, "zonal_stats": ZONAL_STATS, "component_decisions": COMPONENT_DECISIONS, "class_raster": CLASS_RASTER,
     "audit_summary": AUDIT_SUMMARY, "multiband_valid": MULTIBAND_VALID,
 }

@@ -17,13 +17,13 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d).filter("id % 2 = 0")
+    c = _cells(spark, d)
     return regions.compose(c.filter("origin = 'user'"), c.filter("origin = 'inference'").select("row", "col", "run_id"))
 
 
 CURRENT = f"""{fx.RECTS_SQL},
-us AS MATERIALIZED (SELECT DISTINCT row, col FROM cells WHERE origin = 'user' AND id % 2 = 0),
-inf AS MATERIALIZED (SELECT row, col, max(run_id) AS run_id FROM cells WHERE origin = 'inference' AND id % 2 = 0 GROUP BY row, col),
+us AS MATERIALIZED (SELECT DISTINCT row, col FROM cells WHERE origin = 'user'),
+inf AS MATERIALIZED (SELECT row, col, max(run_id) AS run_id FROM cells WHERE origin = 'inference' GROUP BY row, col),
 cur AS MATERIALIZED (SELECT row, col, 'user' AS origin, CAST(NULL AS VARCHAR) AS run_id FROM us
   UNION ALL SELECT inf.row, inf.col, 'inference', run_id FROM inf ANTI JOIN us ON us.row = inf.row AND us.col = inf.col)"""
 
@@ -48,12 +48,12 @@ UNION ALL SELECT b.row, b.col, 'inference', b.run_id FROM both_ b ANTI JOIN us O
 
 def append_user(spark: SparkSession, d: str) -> DataFrame:
     area = _cells(spark, d).filter("id % 10 = 3").select("row", "col")
-    return regions.append_user(_current(spark, d), area).groupBy("origin").agg(F.count("*").alias("n"))
+    return regions.append_user(_current(spark, d), area).select("row", "col", "origin")
 
 
-APPEND_USER = f"""WITH {CURRENT}, u AS (SELECT row, col FROM us UNION SELECT row, col FROM cells WHERE id % 10 = 3),
+APPEND_USER = f"""WITH {CURRENT}, u AS MATERIALIZED (SELECT row, col FROM us UNION SELECT row, col FROM cells WHERE id % 10 = 3),
 i AS (SELECT row, col FROM cur WHERE origin = 'inference' EXCEPT SELECT row, col FROM u)
-SELECT 'user' AS origin, count(*) AS n FROM u UNION ALL SELECT 'inference', count(*) FROM i"""
+SELECT row, col, 'user' AS origin FROM u UNION ALL SELECT row, col, 'inference' FROM i"""
 
 
 def region_difference(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     r = fx.rects(spark, d)
     uuid = F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("u"), (F.col("id") % 1000).cast("string")))
     cells = F.when(F.col("id") % 17 == 0, F.array().cast("array<int>")).otherwise(F.array("row0", "col0"))
-    return r.select("id", F.lit(1).alias("class_id"), F.lit("landslide").alias("class_name"), F.lit(0).alias("source_id"), uuid.alias("feature_uuid"), F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("origin")).alias("origin"), "run_id", cells.alias("cells"))
+    return r.select("id", F.lit(1).alias("class_id"), F.lit("target").alias("class_name"), F.lit(0).alias("source_id"), uuid.alias("feature_uuid"), F.when(F.col("id") % 5 == 0, "other").otherwise(F.col("origin")).alias("origin"), "run_id", cells.alias("cells"))
 
 
 def normalise_draft(spark: SparkSession, d: str) -> DataFrame:
@@ -102,67 +102,20 @@ SELECT CAST(id AS VARCHAR) AS feature_uuid, CASE WHEN changed THEN 'user' ELSE o
 
 
 def polygon_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of the user area with cell counts; ring areas must equal them."""
-    parts = vector.polygonize(regions.cells_of(_cells(spark, d).filter("id % 40 = 0"), None))
+    """Parts of all cells with cell counts; ring areas must equal them. The SQL of components over all cells is too
+    slow: a test compares with a flood fill."""
+    parts = vector.polygonize(regions.cells_of(_cells(spark, d), None))
     return parts.select("n_cells", F.round(vector.polygon_area(F.col("rings")), 6).alias("area"))
 
 
-POLYGON_PARTS = f"""WITH RECURSIVE {fx.RECTS_SQL}, px AS MATERIALIZED (SELECT DISTINCT row, col FROM cells WHERE id % 40 = 0), {fx.components_sql('px', eight=False, width='1000')}
-SELECT count(*) AS n_cells, CAST(count(*) AS DOUBLE) AS area FROM lab GROUP BY label"""
-
-
 def polygon_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """rasterize(polygonize(cells)) = cells."""
-    polygons = materialize(vector.polygonize(regions.cells_of(_cells(spark, d).filter("id % 40 = 0"), None)), "polygons")
-    return vector.rasterize(polygons, 400, 500)
-
-
-POLYGON_ROUND_TRIP = f"WITH {fx.RECTS_SQL} SELECT DISTINCT row, col FROM cells WHERE id % 40 = 0"
-
-
-# The same over every rectangle. The SQL of components over all cells is too slow: tests compare with brute force.
-
-
-def _all_current(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d)
-    return regions.compose(c.filter("origin = 'user'"), c.filter("origin = 'inference'").select("row", "col", "run_id"))
-
-
-ALL_CURRENT = f"""{fx.RECTS_SQL},
-us AS MATERIALIZED (SELECT DISTINCT row, col FROM cells WHERE origin = 'user'),
-inf AS MATERIALIZED (SELECT row, col, max(run_id) AS run_id FROM cells WHERE origin = 'inference' GROUP BY row, col),
-cur AS MATERIALIZED (SELECT row, col, 'user' AS origin, CAST(NULL AS VARCHAR) AS run_id FROM us
-  UNION ALL SELECT inf.row, inf.col, 'inference', run_id FROM inf ANTI JOIN us ON us.row = inf.row AND us.col = inf.col)"""
-
-
-def compose_all(spark: SparkSession, d: str) -> DataFrame:
-    return _all_current(spark, d)
-
-
-COMPOSE_ALL = f"WITH {ALL_CURRENT} SELECT * FROM cur"
-
-
-def append_user_all(spark: SparkSession, d: str) -> DataFrame:
-    """The appended area is every tenth rectangle; the region before it is made of all."""
-    area = _cells(spark, d).filter("id % 10 = 3").select("row", "col")
-    return regions.append_user(_all_current(spark, d), area).select("row", "col", "origin")
-
-
-APPEND_USER_ALL = f"""WITH {ALL_CURRENT}, u AS (SELECT row, col FROM us UNION SELECT row, col FROM cells WHERE id % 10 = 3)
-SELECT row, col, 'user' AS origin FROM u UNION ALL SELECT row, col, 'inference' FROM (SELECT row, col FROM cur WHERE origin = 'inference' EXCEPT SELECT row, col FROM u)"""
-
-
-def polygon_parts_all(spark: SparkSession, d: str) -> DataFrame:
-    parts = vector.polygonize(regions.cells_of(_cells(spark, d), None))
-    return parts.select("n_cells", F.round(vector.polygon_area(F.col("rings")), 6).alias("area"))
-
-
-def polygon_round_trip_all(spark: SparkSession, d: str) -> DataFrame:
     polygons = materialize(vector.polygonize(regions.cells_of(_cells(spark, d), None)), "polygons")
     return vector.rasterize(polygons, 400, 500)
 
 
-POLYGON_ROUND_TRIP_ALL = f"WITH {fx.RECTS_SQL} SELECT DISTINCT row, col FROM cells"
+POLYGON_ROUND_TRIP = f"WITH {fx.RECTS_SQL} SELECT DISTINCT row, col FROM cells"
+
 
 
 def _rings(spark: SparkSession, d: str) -> DataFrame:
@@ -274,11 +227,9 @@ QUERIES = {
     "compose": compose, "roi_merge": roi_merge, "append_user": append_user, "region_difference": region_difference, "region_intersection": region_intersection, "normalise_draft": normalise_draft, "manual_changes": manual_changes,
     "polygon_parts": polygon_parts, "polygon_round_trip": polygon_round_trip, "rasterize_rects": rasterize_rects, "ring_area": ring_area, "draft_extent": draft_extent, "initial_mask": initial_mask, "candidate_rank": candidate_rank,
     "prompt_fallback": prompt_fallback, "crop_window": crop_window, "prompt_hits": prompt_hits, "latest_prompt": latest_prompt,
-    "compose_all": compose_all, "append_user_all": append_user_all, "polygon_parts_all": polygon_parts_all, "polygon_round_trip_all": polygon_round_trip_all,
 }
 ORACLE_SQL = {
     "compose": COMPOSE, "roi_merge": ROI_MERGE, "append_user": APPEND_USER, "region_difference": SETS.format("EXCEPT"), "region_intersection": SETS.format("INTERSECT"), "normalise_draft": NORMALISE_DRAFT, "manual_changes": MANUAL_CHANGES,
-    "polygon_parts": POLYGON_PARTS, "polygon_round_trip": POLYGON_ROUND_TRIP, "rasterize_rects": RASTERIZE_RECTS, "ring_area": RING_AREA, "draft_extent": DRAFT_EXTENT, "initial_mask": INITIAL_MASK, "candidate_rank": CANDIDATE_RANK,
+    "polygon_round_trip": POLYGON_ROUND_TRIP, "rasterize_rects": RASTERIZE_RECTS, "ring_area": RING_AREA, "draft_extent": DRAFT_EXTENT, "initial_mask": INITIAL_MASK, "candidate_rank": CANDIDATE_RANK,
     "prompt_fallback": PROMPT_FALLBACK, "crop_window": CROP_WINDOW, "prompt_hits": PROMPT_HITS, "latest_prompt": LATEST_PROMPT,
-    "compose_all": COMPOSE_ALL, "append_user_all": APPEND_USER_ALL, "polygon_round_trip_all": POLYGON_ROUND_TRIP_ALL,
 }

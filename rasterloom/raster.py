@@ -59,8 +59,7 @@ class Raster:
     def terrain(self, tpi_m: float, relief_m: float) -> DataFrame:
         """Factors of an elevation raster (column z) with windows in meters."""
         x, y = self.transform.pixel_size
-        step = self.transform.resolution
-        return dem.factors(self.pixels, tiling.odd_window(tpi_m, step), tiling.odd_window(relief_m, step), x, y)
+        return dem.factors(self.pixels, tiling.window_cells(tpi_m, self.transform), tiling.window_cells(relief_m, self.transform), x, y)
 
     def decide(self, factors: DataFrame | None, filled: DataFrame | None, config: dict) -> DataFrame:
         labels = self.components()

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAYER, MARGIN = "landslide", 0.02
+LAYER, MARGIN = "target", 0.02
 
 
 def number(v: float) -> str:

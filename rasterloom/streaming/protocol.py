@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fixed values of the protocol.
-PREFIX, MAX_LINES, MAX_CHARS = "LCC_EVENT ", 256, 64 * 1024
+#: Fixed values of the protocol; the prefix is what an installation chooses.
+PREFIX, MAX_LINES, MAX_CHARS = "EVENT ", 256, 64 * 1024
 RANGES = {"load": (0, 8), "dem": (8, 18), "predict": (18, 88), "postprocess": (88, 98), "write": (98, 100)}
 EVENT = "type string, stage string, current double, total double, message string, percent double"
 
 
-def events(lines: DataFrame, value: str = "value") -> DataFrame:
+def events(lines: DataFrame, value: str = "value", prefix: str = PREFIX) -> DataFrame:
     """Lines that begin with the prefix, parsed; others and broken JSON are left out. Works on streams too."""
-    body = F.from_json(F.substr(F.col(value), F.lit(len(PREFIX) + 1)), EVENT, {"mode": "PERMISSIVE"})
-    return lines.filter(F.startswith(F.col(value), F.lit(PREFIX))).select(body.alias("e"), *[c for c in lines.columns if c != value]).filter("e.type is not null").select("e.*", *[c for c in lines.columns if c != value])
+    body = F.from_json(F.substr(F.col(value), F.lit(len(prefix) + 1)), EVENT, {"mode": "PERMISSIVE"})
+    return lines.filter(F.startswith(F.col(value), F.lit(prefix))).select(body.alias("e"), *[c for c in lines.columns if c != value]).filter("e.type is not null").select("e.*", *[c for c in lines.columns if c != value])
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return events(spark.readStream.text(folder))
+def event_stream(spark: SparkSession, folder: str, prefix: str = PREFIX) -> DataFrame:
+    return events(spark.readStream.text(folder), prefix=prefix)
 
 
-def encode(payload: Column) -> Column:
-    return F.concat(F.lit(PREFIX), F.to_json(payload))
+def encode(payload: Column, prefix: str = PREFIX) -> Column:
+    return F.concat(F.lit(prefix), F.to_json(payload))
 
 
 def overall(stage: Column, current: Column, total: Column) -> Column:
@@ -42,7 +42,7 @@ def monotone(progress: DataFrame, keys: list[str], order: str, value: str = "per
     return out.withColumn("emit", F.coalesce(F.floor(value) > F.floor(F.lag(value).over(before)), F.lit(True)))
 
 
-def diagnostics(lines: DataFrame, keys: list[str], order: str, value: str = "line", max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> DataFrame:
+def diagnostics(lines: DataFrame, keys: list[str], order: str | Column, value: str = "line", max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> DataFrame:
     """The first max_lines different lines of each key, as long as their length sums to max_chars at most; kept tells
     which rows stay, so that repeats and drops can be counted."""
     same = Window.partitionBy(*keys, value).orderBy(order)

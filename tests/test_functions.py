@@ -22,13 +22,13 @@ def test_causes_end_in_cycles():
     assert len(text.causes(a)) == 2
 
 
-@pytest.mark.parametrize(("manifest", "want"), [('{"class_names":["background","LandSlide"]}', 1), ('{"class_names":["background","road"]}', None), ('{"class_names":["background","landslide"],"landslide_class_id":0}', None)])
+@pytest.mark.parametrize(("manifest", "want"), [('{"class_names":["background","TarGet"]}', 1), ('{"class_names":["background","road"]}', None), ('{"class_names":["background","target"],"target_class_id":0}', None)])
 def test_strict_class(spark, manifest, want):
     assert one(spark, config.strict_class_id(F.lit(manifest))) == want
 
 
 def test_own_drafts(spark):
-    rows = [("user_data/lcc_draft_user.gpkg", None, False), ("/tmp/lcc_draft_plugin.gpkg", None, True), ("/x/lcc_draft_session_1/a.gpkg|layername=draft", None, True), ("/x/a.gpkg", "1", True)]
+    rows = [("user_data/draft_user.gpkg", None, False), ("/tmp/draft_plugin.gpkg", None, True), ("/x/draft_session_1/a.gpkg|layername=draft", None, True), ("/x/a.gpkg", "1", True)]
     df = spark.createDataFrame(rows, "source string, marker string, want boolean")
     got = df.select(config.own_draft(F.col("source"), F.col("marker"), "/tmp").alias("got"), "want").collect()
     assert all(r.got == r.want for r in got)

@@ -70,9 +70,12 @@ def test_frames_equal_tiles_and_numpy(spark, kind):
     assert np.array_equal(dense(tiles, mask.shape, "m"), want)
 
 
-def test_even_elements_are_rejected():
+def test_sides_below_one_are_rejected(spark):
+    mask = pixels(spark, np.ones((3, 3), int), "m", "int")
     with pytest.raises(ValueError):
-        stencil.morphology(np.zeros((2, 2)), 2, "open")
+        stencil.closing(mask, 0)
+    with pytest.raises(ValueError):
+        stencil.morphology(np.ones((3, 3), int), 0, "open")
 
 
 def test_threshold_is_32_bit_and_nan_safe(spark):
@@ -104,20 +107,78 @@ def contract(**enabled):
     }
 
 
-def test_pipeline_bridges_fills_and_drops(spark):
-    p = np.zeros((80, 80), "float32")
-    p[10:30, 10:30] = p[10:30, 32:52] = 0.9
-    p[14:18, 14:18] = 0
-    p[70:72, 70:72] = 0.9
-    config = contract() | {"morph_closing": True, "morph_closing_size": 3, "fill_holes": True, "max_hole_area_m2": 100, "min_area_m2": 10}
-    r = postprocess.run(pixels(spark, p), None, None, config, 80, 80)
-    out = dense(r.class_raster, p.shape, "value")
-    assert out[20, 31] == 1 and out[15, 15] == 1 and out[70, 70] == 0
+def test_whole_plan_equals_brute_force(spark, tmp_path):
+    """Closing, holes and areas of a random scene, in tiles that cut its components, against plain loops."""
+    import json
+
+    rng = np.random.default_rng(12)
+    p = np.where(np.kron(rng.random((9, 13)) < 0.45, np.ones((5, 5))) + (rng.random((45, 65)) < 0.06) > 0, 0.8, 0.1).astype("float32")
+    config = contract() | {"morph_closing": True, "closing_size": 2, "fill_holes": True, "max_hole_area_m2": 30, "min_area_m2": 20}
+    r = postprocess.run(pixels(spark, p), None, None, config, 65, 45, block=16)
+
+    def at(m, y, x):
+        return 0 <= y < 45 and 0 <= x < 65 and m[y, x]
+
+    def parts(m, steps):
+        seen, out = np.zeros(m.shape, bool), []
+        for start in zip(*np.nonzero(m)):
+            if not seen[start]:
+                todo, mine = [start], []
+                seen[start] = True
+                while todo:
+                    y, x = todo.pop()
+                    mine.append((y, x))
+                    for dy, dx in steps:
+                        if at(m, y + dy, x + dx) and not seen[y + dy, x + dx]:
+                            seen[y + dy, x + dx] = True
+                            todo.append((y + dy, x + dx))
+                out.append(mine)
+        return out
+
+    on = p >= 0.5
+    wide = np.array([[any(at(on, y + i, x + j) for i in (0, 1) for j in (0, 1)) for x in range(65)] for y in range(45)])
+    m = np.array([[all(at(wide, y - i, x - j) for i in (0, 1) for j in (0, 1)) for x in range(65)] for y in range(45)])
+    for hole in parts(~m, components.FOUR):
+        if len(hole) <= 30 and not any(y in (0, 44) or x in (0, 64) for y, x in hole):
+            for c in hole:
+                m[c] = True
+    found = parts(m, components.EIGHT)
+    want = np.zeros(m.shape, int)
+    for mine in found:
+        for c in mine if len(mine) >= 20 else ():
+            want[c] = 1
+    assert (dense(r.class_raster, p.shape, "value") == want).all()
     s = postprocess.audit_summary(r, config).first()
-    assert (s.kept, s.dropped) == (1, 1)
-    n = {x.stage: x.pixels for x in postprocess.stage_counts(r.stages).collect()}
-    assert n["fill"] > n["closing"]
-    assert postprocess.audit_document(r, None).count() == 2
+    assert (s.component_count, s.kept) == (len(found), sum(len(x) >= 20 for x in found)) and s.post_opening_pixel_count == m.sum() and s.threshold_pixel_count == on.sum()
+    summary = postprocess.write_audit(r, config, pixels(spark, p), str(tmp_path / "audit"))
+    lines = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "audit" / "components")).collect()]
+    assert sorted(x["comp_id"] for x in lines) == list(range(1, len(found) + 1)) and json.loads(spark.read.text(str(tmp_path / "audit" / "summary")).first().value) == json.loads(json.dumps(summary))
+
+
+def test_sizes_of_a_config():
+    assert postprocess.settings({"morph_open_size": 7, "closing_size": "4"})["morph_open_size"] == 7
+    assert postprocess.settings({"opening_size": 5})["morph_open_size"] == 5 and postprocess.settings({"opening_size": 5, "morph_open_size": 2})["morph_open_size"] == 2
+    with pytest.raises(ValueError):
+        postprocess.settings({"morph_opening_size": 3})
+
+
+def test_in_memory_fills_every_hole_and_refuses_large_rasters(spark):
+    p = np.full((20, 20), 0.9, "float32")
+    p[3:17, 3:17] = 0
+    r, percents = postprocess.in_memory(pixels(spark, p), {"fill_holes": True, "min_area_m2": 1}, 20, 20)
+    assert dense(r.class_raster, p.shape, "value").sum() == 400 and percents.count() == 4
+    with pytest.raises(ValueError):
+        postprocess.in_memory(pixels(spark, p), {}, 5000, 5000)
+
+
+@pytest.mark.parametrize("size", [2, 3, 4, 5])
+def test_even_elements_do_not_move(spark, size):
+    m = (np.random.default_rng(size).random((14, 17)) < 0.5).astype(int)
+    for kind, frame in (("close", stencil.closing), ("open", stencil.opening)):
+        want = stencil.morphology(m, size, kind)
+        assert (dense(frame(pixels(spark, m, "m", "int"), size), m.shape, "m") == want).all()
+        inner = (slice(size, -size), slice(size, -size))
+        assert (want[inner] >= m[inner] if kind == "close" else want <= m).all()
 
 
 @pytest.mark.parametrize(("rule", "value", "keeps"), [("slope", 9, True), ("slope", 2, False), ("relief", 6, True), ("relief", 2, False), ("tpi", 3, True), ("tpi", 9, False)])
@@ -162,11 +223,18 @@ def test_contract_errors():
 
 
 def test_nearest_fill(spark):
-    z = np.arange(30, dtype=float).reshape(5, 6)
-    z[2, 2] = z[2, 3] = np.nan
-    got = dem.nearest_fill(pixels(spark, z, "z", "double"), 6, 5, block=4, reach=3)
-    out = dense(got, z.shape, "z")
-    assert out[2, 2] == z[1, 2] and out[2, 3] == z[1, 3] and got.filter("dem_filled").count() == 2
+    rng = np.random.default_rng(3)
+    z = np.where(rng.random((30, 150)) < 0.01, rng.random((30, 150)), np.nan)
+    got = dense(dem.nearest_fill(pixels(spark, z, "z", "double")), z.shape, "z")
+    have = np.argwhere(~np.isnan(z))
+    for y in range(30):
+        for x in range(150):
+            d = ((have - [y, x]) ** 2).sum(axis=1)
+            assert got[y, x] == z[tuple(have[int(np.argmin(d))])]
+    far = np.full((2, 100), np.nan)
+    far[0, 0] = 5.0
+    assert (dense(dem.nearest_fill(pixels(spark, far, "z", "double")), far.shape, "z") == 5).all()
+    assert dem.nearest_fill(pixels(spark, np.full((2, 3), np.nan), "z", "double")).filter("z is null").count() == 6
 
 
 def test_flat_ground_has_no_aspect(spark):

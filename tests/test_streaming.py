@@ -7,7 +7,7 @@ from rasterloom.streaming import protocol, sessions
 
 def test_event_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "log.txt").write_text('noise\nLCC_EVENT {"type":"progress","stage":"predict","current":5,"total":10}\nLCC_EVENT {broken\n')
+    (tmp_path / "in" / "log.txt").write_text('noise\nEVENT {"type":"progress","stage":"predict","current":5,"total":10}\nEVENT {broken\n')
     q = protocol.event_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("ev").start()
     try:
         q.processAllAvailable()

@@ -137,7 +137,7 @@ def test_ascii_grid(spark, tmp_path):
 
 
 def test_bundles(spark, tmp_path):
-    for name, body in (("a", {"framework": "pytorch", "task": "semantic_segmentation", "display_name": "A"}), ("b", {"framework": "other"})):
+    for name, body in (("a", {"framework": "torch", "task": "segmentation", "display_name": "A"}), ("b", {"framework": "other"})):
         (tmp_path / name).mkdir()
         (tmp_path / name / "manifest.json").write_text("﻿" + json.dumps(body))
     (tmp_path / "c").mkdir()
@@ -195,7 +195,7 @@ def test_parts_of_all_rectangles_equal_flood_fill(spark):
                     left.remove(x)
                     todo.append(x)
         want[n] += 1
-    got = v.polygon_parts_all(spark, d).collect()
+    got = v.polygon_parts(spark, d).collect()
     assert Counter(r.n_cells for r in got) == want and all(r.area == r.n_cells for r in got)
 
 
@@ -206,5 +206,5 @@ def test_class_raster_by_pixel(spark):
     keep = {r.comp_id for r in q.component_decisions(spark, d).collect() if r.decision == "keep"}
     ids = {r.label: r.comp_id for r in q.components.records(q._labels(spark, d), q.fx.WIDTH, q.fx.height(spark, d)).collect()}
     want = {(r.row, r.col) for r in q._labels(spark, d).collect() if ids[r.label] in keep}
-    got = q.class_raster_pixels(spark, d).collect()
+    got = q.class_raster(spark, d).collect()
     assert {(r.row, r.col) for r in got if r.value == 1} == want and len(got) == q.fx.grid(spark, d).count()
