@@ -1,8 +1,12 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
-
-A text's MinHash signature is cut into BANDS bands of ROWS values; two texts of similarity s share a band with
-probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8. Sharing a band only makes them candidates: texts that are
-reachable through shared bands form a block, and inside a block shingle sets are compared exactly. In the order of
+"""Near copies by SimHash, completed and verified: documents whose sets of five-word shingles have a Jaccard similarity of
+at least 0.8.
+
+Candidates are texts whose SimHash fingerprints over five-word shingles the BK-trees of the SimHash operator link. At a
+similarity of 0.8 such fingerprints differ by some 9 bits, so the trees alone miss most pairs below 0.95, and a radius wide
+enough would need thousands of tables. The pairs that they miss come from the minima of the same shingles' hashes, cut into
+BANDS bands of ROWS values: two texts of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8.
+Texts that are reachable through links and shared bands form a block, and inside a block shingle sets are compared exactly,
+so neither way decides. In the order of
 (doc_id, text hash), a text goes if it is similar to one that stays; so no two texts of a block that stay are similar,
 and every text that goes is similar to one that stays.
 
@@ -19,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm import simhash
 from rasterloom.llm.common import slices
 from rasterloom.operators.graph import connected_components
 from rasterloom.session import materialize
@@ -70,17 +75,18 @@ def node(text: str = "text") -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands of every row."""
+    """doc_id, node, fp, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             found = [bands(x) for x in b.column(2).to_pylist()]
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, pa.int32()), values)
-            yield pa.record_batch([b.column(0), b.column(1), lists], names=["doc_id", "node", "bands"])
+            fps = np.array([simhash.fingerprint(x, SHINGLE) for x in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps), lists], names=["doc_id", "node", "fp", "bands"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node().alias("node"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
 
 
 _TEXTS = "block long, node long, least long, text string"
@@ -146,17 +152,26 @@ def staying(texts: DataFrame) -> DataFrame:
         texts = materialize(undecided.unionByName(texts.join(sizes, "block", "left_anti").select("block", "node", "least", "text")), "near-texts")
 
 
+def _linked(distinct: DataFrame) -> DataFrame:
+    """src, dst: texts (node, fp) that the SimHash operator's trees link, or whose fingerprints are equal."""
+    prints = materialize(distinct.groupBy("fp").agg(F.min("node").alias("low")), "near-prints")
+    same = distinct.join(prints, "fp").filter("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst"))
+    name = lambda end: prints.select(F.col("fp").alias(end), F.col("low").alias(f"{end}_node"))
+    found = simhash.links(prints.select("fp")).join(name("src"), "src").join(name("dst"), "dst")
+    return same.unionByName(found.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst")))
+
+
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and others) that stay: of equal texts one row, the one of the smallest doc_id, and of
     near copies those that no kept one is similar to. A null doc_id comes last; rows with the same doc_id are told
     apart by their texts; texts without words are copies of each other; an empty table gives an empty result."""
     prints = signatures(docs)
-    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "near-distinct")
+    distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "near-distinct")
     rows = distinct.select("node", F.posexplode("bands").alias("band", "value"))
     shared = rows.groupBy("band", "value").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = materialize(shared, "near-shared")
     edges = rows.join(shared, ["band", "value"]).select(F.col("node").alias("src"), F.col("low").alias("dst"))
-    blocks = connected_components(edges).select(F.col("id").alias("node"), F.col("root").alias("block"))
+    blocks = connected_components(edges.unionByName(_linked(distinct.select("node", "fp")))).select(F.col("id").alias("node"), F.col("root").alias("block"))
     members = materialize(blocks.join(distinct.select("node", "least"), "node"), "near-members")
 
     named = docs.withColumn("__node", node())

@@ -29,7 +29,7 @@ SHARD = 1024
 MASK = (1 << 64) - 1
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Majority bits of XXH64 over word shingles, repeats included; 0 where there is no word."""
     from xxhash import xxh64_intdigest
 
@@ -37,7 +37,7 @@ def fingerprint(text: str | None) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
-    k = min(SHINGLE, len(words))
+    k = min(shingle, len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes

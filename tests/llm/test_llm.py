@@ -669,6 +669,17 @@ def test_pipeline(spark, odd):
         assert stage(spark, docs.limit(0), DIR).count() == 0
 
 
+def test_language_stage_rejects_foreign_and_random_text(spark, docs):
+    """All documents of the table stay (none needs over 4.5 bits a symbol); unlearned scripts and random letters go."""
+    import corpus_pipeline as c
+
+    r = random.Random(5)
+    foreign = ["Съешь же ещё этих мягких французских булок, да выпей чаю. " * 3, "日本語の文章はここにあります。" * 5, " ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(40))]
+    rows = [(900_000 + i, t, None, "x", len(t)) for i, t in enumerate(foreign)]
+    mixed = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    assert {x.doc_id for x in c.language(spark, mixed, DIR).collect()} == {x.doc_id for x in docs.collect()}
+
+
 def test_pipeline_finds_near_copies(spark, monkeypatch):
     """Planted pairs of five-word similarity 0.8 to 0.95 lose their second text, others stay; a large block too."""
     from rasterloom.llm import near
