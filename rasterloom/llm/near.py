@@ -174,10 +174,14 @@ def survivors(docs: DataFrame) -> DataFrame:
     blocks = connected_components(edges.unionByName(_linked(distinct.select("node", "fp")))).select(F.col("id").alias("node"), F.col("root").alias("block"))
     members = materialize(blocks.join(distinct.select("node", "least"), "node"), "near-members")
 
-    named = docs.withColumn("__node", node())
-    mine = lambda t: (F.col("__node") == t["node"]) & F.col("doc_id").cast("long").eqNullSafe(t["least"])
-    texts = named.join(members, mine(members)).select("block", "node", "least", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = materialize(texts.dropDuplicates(["node"]), "near-texts")
+    # the first row of (text, smallest id) stands for a text; the join deals rows as dropping its repeats needs them. Both
+    # small sides grow with the documents, so they are hashed in a shuffle at every size
+    place = ["__node", "__near_id", "__near_null"]
+    numbered = lambda t, i: t.withColumns({"__near_id": F.coalesce(F.col(i).cast("long"), F.lit(0)), "__near_null": F.col(i).isNull()})
+    named = numbered(docs.withColumn("__node", node()), "doc_id")
+    mine = lambda t: numbered(t.withColumnRenamed("node", "__node"), "least").hint("shuffle_hash")
+    texts = named.select(*place, "text").join(mine(members), place).dropDuplicates(place)
+    texts = materialize(texts.select("block", F.col("__node").alias("node"), "least", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "near-texts")
     gone = members.select("node").join(staying(texts), "node", "left_anti")
     stay = materialize(distinct.select("node", "least").join(materialize(gone, "near-gone"), "node", "left_anti"), "near-stay")
-    return named.join(stay, mine(stay)).dropDuplicates(["__node"]).select(*docs.columns)
+    return named.join(mine(stay).select(*place), place).dropDuplicates(place).select(*docs.columns)
