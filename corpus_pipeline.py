@@ -60,7 +60,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     counts = mixing.taken(rows, pieces).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)))
     counts = counts.groupBy("key").agg(F.max("copies").cast("int").alias("copies"))
     counts = materialize(counts.filter("copies > 0").withColumnRenamed("key", "__mix_key"), "pipeline-copies")
-    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("__mix_key")))
+    # counts grow with the documents: a shuffle at every size, no broadcast
+    joined = docs.join(counts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__mix_key")))
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
