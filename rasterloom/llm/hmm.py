@@ -9,7 +9,7 @@ by their smoothed counts. So the model is a proper distribution over texts:
 
 c a token's training count, M_class the sum of (c + 0.1) over the class's training words plus 0.1 for unseen ones.
 Baum-Welch starts from random emissions around the class frequencies, and in each round its counts are summed over
-all training documents, until a round gains less than LEAST_GAIN digits a token (ROUNDS rounds at most): tasks run the scaled forward and backward recursions over whole documents (keeping the forward
+all training documents, ROUNDS times (a caller may let it end where a round gains little): tasks run the scaled forward and backward recursions over whole documents (keeping the forward
 variables of one stretch of steps at a time, and those before each stretch) and send one table of counts each. Scores
 run the scaled forward recursion over whole documents. Documents are dealt by length, as those of a task step together.
 
@@ -34,7 +34,7 @@ from rasterloom.session import materialize
 
 #: Fixed value of the base score's smoothing.
 ADD = 0.1
-STATES, ROUNDS, LEAST_GAIN = 8, 15, 0.005
+STATES, ROUNDS = 8, 15
 #: Bounds of the number of classes, and distinct training words for each class between them.
 LEAST_CLASSES, MOST_CLASSES, WORDS_A_CLASS = 4096, 262_144, 64
 FREQUENT = 100_000
@@ -390,7 +390,7 @@ def fit(training: DataFrame, share: np.ndarray, states: int = STATES, rounds: in
     return hmm
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 10, held: int = 0, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 10, held: int = 0, states: int = STATES, rounds: int = ROUNDS, least_gain: float = -np.inf) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Null and empty texts are one end token; very long texts are scored whole; repeated rows are rows of their own,
@@ -416,7 +416,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     coded = materialize(encode(docs, often, key, text, out_of, classes), "lm-coded")
     training = materialize(dealt(coded.filter("not held_out").select("row", "n_tokens", "classes")), "lm-training")
 
-    hmm = fit(training, share, states, rounds, LEAST_GAIN)
+    hmm = fit(training, share, states, rounds, least_gain)
 
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = rare.join(counts, "word", "left")
