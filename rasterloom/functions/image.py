@@ -62,3 +62,17 @@ def resize_nearest(pixels: DataFrame, height: int, width: int, new_height: int,
     """grid (row, col of the new size) joined with the source cell floor(i * old / new)."""
     at = grid.select("row", "col", F.floor(F.col("row") * height / new_height).cast("int").alias("_r"), F.floor(F.col("col") * width / new_width).cast("int").alias("_c"))
     return at.join(pixels.withColumnsRenamed({"row": "_r", "col": "_c"}), ["_r", "_c"]).drop("_r", "_c")
+
+
+def named_factors(pixels: DataFrame, planes: str, names: list[str]) -> DataFrame:
+    """An array column of planes as one column per declared name; another number of planes is an error."""
+    wrong = F.raise_error(F.concat(F.size(planes).cast("string"), F.lit(f" factor planes for {len(names)} names"))).cast("double")
+    plane = lambda i: F.when(F.size(planes) == len(names), F.get(F.col(planes), F.lit(i))).otherwise(wrong)
+    return pixels.withColumns({n: plane(i) for i, n in enumerate(names)}).drop(planes)
+
+
+def require_factors(pixels: DataFrame, names: list[str]) -> DataFrame:
+    """The named factor columns in their order; a missing one is an error."""
+    if missing := [n for n in names if n not in pixels.columns]:
+        raise ValueError(f"factors missing: {missing}")
+    return pixels.select("row", "col", *names)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of the ranking rules and of the crop.
 LARGE, EDGE_AREA, EDGE_RATIO, GROWTH, SHRINK = 0.8, 0.45, 0.08, 2.2, 0.08
 CROP, SCALE_MIN, SCALE_MAX, SPAN = 1024, 0.25, 8.0, 1.4
+LEAST_CONTOUR, CONTOUR_SHARE = 64.0, 2e-6
 
 
 def initial_mask(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,3 +121,53 @@ def latest(events: DataFrame, keys: list[str], order: str, value: str) -> DataFr
 def undo(history: Column) -> Column:
     """A point history without its last point."""
     return F.when(F.size(history) > 0, F.slice(history, F.lit(1), F.size(history) - 1)).otherwise(history)
+
+
+def prompt_points(positive: Column, negative: Column) -> Column:
+    """Two arrays of (x, y) as one array of (x, y, label), positives first; without any point an error."""
+    of = lambda points, label: F.transform(F.coalesce(points, F.array().cast("array<struct<x:double,y:double>>")), lambda p: F.struct(p["x"].cast("float").alias("x"), p["y"].cast("float").alias("y"), F.lit(label).alias("label")))
+    both = F.concat(of(positive, 1), of(negative, 0))
+    return F.when(F.size(both) > 0, both).otherwise(F.raise_error(F.lit("at least one prompt point is needed")).cast("array<struct<x:float,y:float,label:int>>"))
+
+
+def predict_request(request_id: Column, positive: Column, negative: Column, inside: Column) -> Column:
+    """A request as JSON; points that could not be mapped (null coordinates) are left out, and a request outside the image
+    (inside false) or without a positive point is null."""
+    whole = lambda points: F.filter(F.coalesce(points, F.array().cast("array<struct<x:double,y:double>>")), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    body = F.to_json(F.struct(request_id.alias("id"), F.lit("predict").alias("op"), whole(positive).alias("positive"), whole(negative).alias("negative")))
+    return F.when(inside & (F.size(whole(positive)) > 0), body)
+
+
+def use_multimask(asked: Column, previous: Column) -> Column:
+    """Several candidates are asked for on request, or where there is no mask before."""
+    return F.coalesce(asked, F.lit(False)) | previous.isNull()
+
+
+def selector(multimask: Column, masks: Column, negatives: Column) -> Column:
+    """Which rule picks the mask: initial, prompt or only (a single candidate)."""
+    return F.when(multimask & (negatives > 0), "prompt").when(multimask, "initial").when(masks == 1, "only").otherwise("prompt")
+
+
+def large_contours(contours: DataFrame, height: int, width: int, area: str = "area") -> DataFrame:
+    """Contours of at least LEAST_CONTOUR cells and CONTOUR_SHARE of the mask."""
+    return contours.filter(F.abs(F.col(area)) >= max(LEAST_CONTOUR, CONTOUR_SHARE * height * width))
+
+
+def masks_of(masks: np.ndarray) -> list[np.ndarray]:
+    """The candidates of a predictor's answer (one mask, or many, or many of one channel) as planes, in their order."""
+    masks = np.asarray(masks)
+    if masks.ndim == 4 and masks.shape[1] == 1:
+        masks = masks[:, 0]
+    if masks.ndim not in (2, 3):
+        raise ValueError(f"masks of shape {masks.shape}")
+    return [masks] if masks.ndim == 2 else list(masks)
+
+
+def low_resolution(masks: np.ndarray, index: int) -> np.ndarray:
+    """The chosen candidate's low-resolution mask with its leading axis; the first one where the index is past the end."""
+    masks = np.asarray(masks)
+    if masks.ndim < 2:
+        return masks
+    if masks.ndim == 2:
+        return masks[None]
+    return masks[index : index + 1] if index < len(masks) else masks[:1]

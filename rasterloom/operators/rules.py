@@ -87,6 +87,11 @@ def ordered_rules(config: dict, enabled_only: bool = True) -> list[dict]:
     return [r for r in out if r["enabled"]] if enabled_only else out
 
 
+def rules_summary(config: dict) -> dict[str, dict]:
+    """What an audit shows of each rule, disabled ones too."""
+    return {r["rule"]: {"enabled": bool(r["enabled"]), "factor": r["factor"], "stat": r["stat"], "operator": r["operator"], "threshold_key": RULE_KEYS[r["rule"]], "threshold_value": r["threshold_value"]} for r in ordered_rules(config, False)}
+
+
 def zonal_stats(labels: DataFrame, factors: DataFrame, filled: DataFrame | None, columns: Iterable[str] = FACTORS, stats: Iterable[str] = STATS) -> DataFrame:
     """label, pixel_count, dem_fill_fraction, and <factor>_<stat> over finite values. One co-partitioned join on the
     pixel, one aggregation; tiles without a component never enter because labels are sparse."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators.tiling import halo_pixels
@@ -74,3 +74,11 @@ def zero_nodata(pixels: DataFrame, bands: list[str]) -> DataFrame:
     for b in bands:
         valid = valid & F.col(b).isNotNull() & ~F.isnan(F.col(b))
     return pixels.withColumn("valid", valid).withColumns({b: F.coalesce(F.nanvl(F.col(b), F.lit(0.0)), F.lit(0.0)) for b in bands})
+
+
+def choose_device(spark: SparkSession) -> dict:
+    """Tile size, overlap, batch and precision by what the cluster gives a task: a GPU if its resource profile asks for one."""
+    asked = spark.conf.get("spark.task.resource.gpu.amount", None)
+    if asked and float(asked) > 0:
+        return {"name": "cuda", "use_amp": True, "tile_size": 1024, "overlap": 128, "batch_size": 1}
+    return {"name": "cpu", "use_amp": False, "tile_size": 512, "overlap": 64, "batch_size": 1}

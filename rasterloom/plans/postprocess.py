@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators import components, rules, stats, stencil
-from rasterloom.operators.tiling import BLOCK
+from rasterloom.operators.tiling import BLOCK, Affine, is_meter
 from rasterloom.session import materialize
 
 #: Defaults of the stages.
@@ -107,7 +108,9 @@ def audit_document(result: Result, summary: DataFrame | None = None) -> DataFram
     """One JSON line per component in comp_id order, and the summary: written apart, so no array of all components is
     ever gathered in a task."""
     columns = ["comp_id", "pixel_count", "area_m2", "threshold", "rule_evaluations", "dem_fill_fraction", "decision", "rule", "rules_skipped"]
-    return result.decisions.orderBy("comp_id").select(F.to_json(F.struct(*columns)).alias("value"))
+    named = result.decisions.withColumn("rule", F.when(F.col("rule") == "min_area_m2", "min_area").otherwise(F.col("rule")))
+    named = named.withColumn("rules_skipped", F.when(F.col("rules_skipped").isNotNull(), "dem_fill_fraction_gt_0.5"))
+    return named.orderBy("comp_id").select(F.to_json(F.struct(*columns)).alias("value"))
 
 
 def write_audit(result: Result, config: dict, pixels: DataFrame, path: str, runtime: dict | None = None) -> dict:
@@ -128,6 +131,41 @@ def write_audit(result: Result, config: dict, pixels: DataFrame, path: str, runt
     return summary
 
 
+def runtime_metadata(config: dict, image: Affine, image_unit: str | None, dem: dict | None) -> dict:
+    """Resolutions at run time (null where the unit is no meter) and warnings where one differs from the training data's by
+    more than a quarter. dem: resolution and crs_unit of the elevation, as far as known."""
+    known = {"image": image.resolution if is_meter(image_unit) else None, "dem": (dem or {}).get("resolution")}
+    out = {"image_resolution_m": known["image"], "image_crs_unit": image_unit, "dem_resolution_m": known["dem"], "dem_crs_unit": (dem or {}).get("crs_unit")}
+    warnings = []
+    for kind, here in known.items():
+        trained = float(config["training_data"][f"{kind}_resolution_m"])
+        if here is not None and trained > 0 and (off := abs(here - trained) / trained) > 0.25:
+            warnings.append({"kind": f"{kind}_resolution_mismatch", "runtime_resolution_m": float(here), "training_resolution_m": trained, "relative_difference": off})
+    return {"runtime_resolution": out, "resolution_warnings": warnings}
+
+
+def run_from_file(spark: SparkSession, path: str, progress: Callable[[str, float], None] | None = None) -> dict:
+    """The whole plan from a file of parameters (one JSON object): pixels, and where given factors and filled (Parquet
+    folders), config (an object), width, height, transform (six numbers), unit, output (a folder). Writes output/raster and
+    output/audit and returns the audit's summary. progress(stage, percent) is called as each part ends."""
+    params = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()).lstrip("\ufeff"))
+    if missing := {"pixels", "config", "width", "height", "output"} - params.keys():
+        raise ValueError(f"parameters missing: {sorted(missing)}")
+    tell = progress or (lambda stage, percent: None)
+    read = lambda name: spark.read.parquet(params[name]) if params.get(name) else None
+    transform, config = Affine(*params.get("transform", ())), params["config"]
+    pixels = read("pixels")
+    tell("load", 8.0)
+    result = run(pixels, read("factors"), read("filled"), config, int(params["width"]), int(params["height"]), transform.pixel_area)
+    tell("postprocess", 88.0)
+    result.class_raster.write.mode("overwrite").parquet(f"{params['output']}/raster")
+    tell("write", 98.0)
+    runtime = runtime_metadata(config, transform, params.get("unit"), params.get("dem")) if config.get("training_data") else None
+    summary = write_audit(result, config, pixels, f"{params['output']}/audit", runtime)
+    tell("audit", 100.0)
+    return summary
+
+
 def in_memory(pixels: DataFrame, config: dict, width: int, height: int, pixel_area: float = 1.0, limit: int = 16 * 1024 * 1024) -> tuple[Result, DataFrame]:
     """The path for small rasters with its own rules: more than `limit` pixels are refused, percentiles are exact, and a
     hole limit of 0 fills every hole. (result, percentiles)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import prompts, regions, vector
+from rasterloom.operators import layers, prompts, regions, vector
 from rasterloom.plans import fixtures as fx
 from rasterloom.session import materialize, table
 
@@ -223,12 +223,72 @@ def latest_prompt(spark: SparkSession, d: str) -> DataFrame:
 
 LATEST_PROMPT = "SELECT user_id, arg_max(props, event_id) AS props, count(*) AS queued FROM events GROUP BY user_id"
 
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as layers of a project: some are a session's own."""
+    s = table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(k.alias("layer_id"), F.when(k % 3 == 0, "1").alias("marker"), F.when(k % 4 == 0, " Draft ").otherwise(F.col("s_name")).alias("name"), (k % 5 == 0).alias("registered"), (k % 7 == 0).alias("in_session"), (k % 2 == 0).alias("usable"), k.alias("position"))
+
+
+def stale_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Own layers that neither the current nor the session's nor the active ones protect."""
+    x = _layers(spark, d)
+    protected = layers.protected_ids(x.filter("layer_id % 6 = 0"), x.filter("in_session"), x.filter("layer_id = 9"))
+    return layers.stale_layers(x, protected, F.col("marker") == "1").select("layer_id")
+
+
+STALE_LAYERS = "SELECT s_suppkey AS layer_id FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 6 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey <> 9"
+
+
+def orphan_nodes(spark: SparkSession, d: str) -> DataFrame:
+    x = _layers(spark, d)
+    return layers.orphan_nodes(x, x.filter("registered"), ("draft",)).select("layer_id")
+
+
+ORPHAN_NODES = "SELECT s_suppkey AS layer_id FROM supplier WHERE s_suppkey % 5 <> 0 AND (s_suppkey % 3 = 0 OR s_suppkey % 4 = 0)"
+
+
+def reusable_layer(spark: SparkSession, d: str) -> DataFrame:
+    return layers.reusable_layer(_layers(spark, d).filter("not registered or layer_id > 20"))
+
+
+REUSABLE_LAYER = """SELECT arg_min(s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey ELSE 1000000000 + s_suppkey END) AS layer_id FROM supplier
+WHERE s_suppkey % 2 = 0 AND (s_suppkey % 5 <> 0 OR s_suppkey > 20) AND (s_suppkey % 5 = 0 OR s_suppkey % 7 = 0) HAVING count(*) > 0"""
+
+
+def union_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Two layers with different columns, of one class, counted by what they lack."""
+    r = fx.rects(spark, d).withColumn("label_value", (F.col("id") % 3).cast("int"))
+    a, b = r.filter("origin = 'user'").drop("run_id"), r.filter("origin = 'inference'").drop("w")
+    return layers.of_class(layers.union_layers([a, b]), 1).select("id", "origin", "run_id", "w")
+
+
+UNION_LAYERS = f"""WITH {fx.RECTS_SQL} SELECT id, origin, CASE WHEN origin = 'inference' THEN run_id END AS run_id, CASE WHEN origin = 'user' THEN w END AS w
+FROM rects WHERE id % 3 = 1 AND origin IN ('user', 'inference')"""
+
+
+def prompt_points(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's lines as prompt points: positives first, then negatives."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x"), (F.col("l_returnflag") == "R").alias("bad"))
+    point = F.struct(F.col("l_linenumber").alias("n"), F.struct("x", F.col("l_linenumber").cast("double").alias("y")).alias("p"))
+    g = x.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.when(~F.col("bad"), point))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("bad"), point))).alias("b"))
+    points = prompts.prompt_points(F.col("a.p"), F.col("b.p"))
+    out = g.select("l_orderkey", F.posexplode(points).alias("at", "q"))
+    return out.select("l_orderkey", "at", F.col("q.x").cast("double").alias("x"), F.col("q.y").cast("double").alias("y"), F.col("q.label").alias("label"))
+
+
+PROMPT_POINTS = """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R', l_linenumber, l_quantity) - 1 AS INTEGER) AS at,
+ CAST(l_quantity AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, CAST(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS INTEGER) AS label FROM lineitem"""
+
+
 QUERIES = {
+    "stale_layers": stale_layers, "orphan_nodes": orphan_nodes, "reusable_layer": reusable_layer, "union_layers": union_layers, "prompt_points": prompt_points,
     "compose": compose, "roi_merge": roi_merge, "append_user": append_user, "region_difference": region_difference, "region_intersection": region_intersection, "normalise_draft": normalise_draft, "manual_changes": manual_changes,
     "polygon_parts": polygon_parts, "polygon_round_trip": polygon_round_trip, "rasterize_rects": rasterize_rects, "ring_area": ring_area, "draft_extent": draft_extent, "initial_mask": initial_mask, "candidate_rank": candidate_rank,
     "prompt_fallback": prompt_fallback, "crop_window": crop_window, "prompt_hits": prompt_hits, "latest_prompt": latest_prompt,
 }
 ORACLE_SQL = {
+    "stale_layers": STALE_LAYERS, "orphan_nodes": ORPHAN_NODES, "reusable_layer": REUSABLE_LAYER, "union_layers": UNION_LAYERS, "prompt_points": PROMPT_POINTS,
     "compose": COMPOSE, "roi_merge": ROI_MERGE, "append_user": APPEND_USER, "region_difference": SETS.format("EXCEPT"), "region_intersection": SETS.format("INTERSECT"), "normalise_draft": NORMALISE_DRAFT, "manual_changes": MANUAL_CHANGES,
     "polygon_round_trip": POLYGON_ROUND_TRIP, "rasterize_rects": RASTERIZE_RECTS, "ring_area": RING_AREA, "draft_extent": DRAFT_EXTENT, "initial_mask": INITIAL_MASK, "candidate_rank": CANDIDATE_RANK,
     "prompt_fallback": PROMPT_FALLBACK, "crop_window": CROP_WINDOW, "prompt_hits": PROMPT_HITS, "latest_prompt": LATEST_PROMPT,
