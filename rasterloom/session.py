@@ -27,11 +27,14 @@ def local_session(app: str = "rasterloom", cores: str = "*", shuffle: int = 8, d
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set and driver
+    and executors are one process (tests). On a cluster it must be set: a machine's own folder would lose or split tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(found)

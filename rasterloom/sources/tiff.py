@@ -1,6 +1,6 @@
-"""Tiled BigTIFF as a Spark data source, reader and writer, without native libraries.
+"""TIFF as a Spark data source, reader (tiles or strips) and tiled BigTIFF writer, without native libraries.
 
-Reading plans one input partition per window of tiles and reads only those tiles' bytes. Writing goes tile by tile:
+Reading plans one input partition per row of tiles (or strip) and reads only those tiles' bytes. Writing goes tile by tile:
 tasks encode tiles, and one committer lays the encoded blobs out, so pixels are never gathered.
 """
 
@@ -20,10 +20,11 @@ from rasterloom.operators.tiling import Affine, tiff_block
 
 #: Fixed values of the format: tag numbers, field types, sample kinds, compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, SAMPLES, TILE_W, TILE_L, TILE_OFF, TILE_LEN, FORMAT = 256, 257, 258, 259, 262, 277, 322, 323, 324, 325, 339
+ROWS_STRIP, STRIP_OFF, STRIP_LEN, PLANES, PREDICTOR = 278, 273, 279, 284, 317
 SCALE, TIEPOINT, NODATA, GEOKEYS = 33550, 33922, 42113, 34735
 SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 KINDS = {("uint8"): (8, 1), ("uint16"): (16, 1), ("int16"): (16, 2), ("int32"): (32, 2), ("float32"): (32, 3), ("float64"): (64, 3)}
-NONE, LZW, DEFLATE = 1, 5, 8
+NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -87,6 +88,20 @@ def lzw_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def unpack_bits(data: bytes) -> bytes:
+    """Byte runs: a count below 128 precedes count + 1 literal bytes, one above 128 a byte repeated 257 - count times."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += data[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
 def profile(width: int, height: int, dtype: str = "uint8", bands: int = 1, nodata: float | None = 0, preferred: int = 256, compression: int = LZW) -> dict:
     """Writer settings: tiled only if both sides take a multiple of 16."""
     w, h = tiff_block(width, preferred), tiff_block(height, preferred)
@@ -123,29 +138,42 @@ class TiffFile:
                     body = f.read(size)
                 self.tags[tag] = (body[:n].rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"<{n}{form}" if len(form) == 1 else "<" + form * n, body)
         t = self.tags
-        if TILE_W not in t:
-            raise ValueError("only tiled files")
         self.width, self.height, self.bands = t[WIDTH][0], t[LENGTH][0], t.get(SAMPLES, (1,))[0]
-        self.tile_w, self.tile_h = t[TILE_W][0], t[TILE_L][0]
-        self.dtype = next(k for k, v in KINDS.items() if v == (t[BITS][0], t.get(FORMAT, (1,))[0]))
+        if t.get(PLANES, (1,))[0] != 1 and self.bands > 1:
+            raise ValueError("bands in planes of their own are not read")
+        # a strip is a tile as wide as the image, and the last one ends with it
+        self.tiled = TILE_W in t
+        self.tile_w, self.tile_h = (t[TILE_W][0], t[TILE_L][0]) if self.tiled else (self.width, min(self.height, t.get(ROWS_STRIP, (self.height,))[0]))
+        self.offsets, self.lengths = (t[TILE_OFF], t[TILE_LEN]) if self.tiled else (t[STRIP_OFF], t[STRIP_LEN])
+        kind = (t[BITS][0], t.get(FORMAT, (1,))[0])
+        self.dtype = next((k for k, v in KINDS.items() if v == kind), None)
+        if self.dtype is None:
+            raise ValueError(f"samples of {kind[0]} bits and format {kind[1]} are not read")
         self.across, self.down = -(-self.width // self.tile_w), -(-self.height // self.tile_h)
         self.nodata = float(t[NODATA][0]) if t.get(NODATA, ("",))[0].strip() else None
         s, p = t.get(SCALE), t.get(TIEPOINT)
         self.transform = Affine(s[0], 0, p[3] - p[0] * s[0], 0, -s[1], p[4] + p[1] * s[1]) if s and p else Affine()
 
     def tile(self, row: int, col: int) -> np.ndarray:
-        """Samples (height, width, bands) of one tile, cut to the image."""
+        """Samples (height, width, bands) of one tile or strip, cut to the image."""
         k = row * self.across + col
-        size = self.tags[TILE_LEN][k]
-        if not size:
-            img = np.zeros((self.tile_h, self.tile_w, self.bands), self.dtype)
+        rows = self.tile_h if self.tiled else min(self.tile_h, self.height - row * self.tile_h)
+        if not self.lengths[k]:
+            img = np.zeros((rows, self.tile_w, self.bands), self.dtype)
         else:
             with open(self.path, "rb") as f:
-                f.seek(self.tags[TILE_OFF][k])
-                raw = f.read(size)
+                f.seek(self.offsets[k])
+                raw = f.read(self.lengths[k])
             how = self.tags.get(COMPRESSION, (1,))[0]
-            raw = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, 32946: zlib.decompress}[how](raw)
-            img = np.frombuffer(raw, self.dtype).reshape(self.tile_h, self.tile_w, self.bands)
+            unpack = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, 32946: zlib.decompress, PACKBITS: unpack_bits}.get(how)
+            if unpack is None:
+                raise ValueError(f"compression {how} is not read")
+            img = np.frombuffer(unpack(raw), np.dtype(self.dtype).newbyteorder("<"), rows * self.tile_w * self.bands).reshape(rows, self.tile_w, self.bands)
+            differences = self.tags.get(PREDICTOR, (1,))[0]
+            if differences == 2 and img.dtype.kind in "iu":
+                img = np.cumsum(img, axis=1, dtype=self.dtype)
+            elif differences != 1:
+                raise ValueError(f"predictor {differences} is not read")
         return img[: self.height - row * self.tile_h, : self.width - col * self.tile_w]
 
 
