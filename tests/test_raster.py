@@ -237,6 +237,40 @@ def test_nearest_fill(spark):
     assert dem.nearest_fill(pixels(spark, np.full((2, 3), np.nan), "z", "double")).filter("z is null").count() == 6
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 40), st.floats(0, 1), st.integers(0, 2**31))
+def test_nearest_in_rows_equals_brute_force(h, w, share, seed):
+    """Finds at few distances, so that ties abound; upper rows, then left columns win them."""
+    rng = np.random.default_rng(seed)
+    row, col = (x.ravel() for x in np.indices((h, w)))
+    ask, have = rng.random(h * w) < 0.7, rng.random(h * w) < share
+    src = (row + rng.integers(-3, 4, h * w))[have]
+    got = dem.nearest_in_rows(row[ask], col[ask], row[have], col[have], src)
+    for r, c, g in zip(row[ask], col[ask], got):
+        near = [((s - r) ** 2 + (x - c) ** 2, s, x, i) for i, (y, x, s) in enumerate(zip(row[have], col[have], src)) if y == r]
+        assert g == (min(near)[3] if near else -1)
+
+
+def test_nearest_fill_across_stretches_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(dem, "STRETCH", 4)
+    test_nearest_fill(spark)
+    wide = np.full((3, 25_000), np.nan)  # a row is more than a batch
+    wide[0, 0], wide[2, 24_999] = 1.0, 2.0
+    got = dense(dem.nearest_fill(pixels(spark, wide, "z", "double")), wide.shape, "z")
+    assert (got[:, :12_500] == 1).all() and (got[:, 12_500:] == 2).all()
+
+
+def test_nearest_fill_of_tall_and_wide_grids_takes_no_quadratic_time(spark):
+    import time
+
+    for shape in ((60_000, 3), (3, 60_000)):
+        long = spark.range(shape[0] * shape[1]).selectExpr(f"cast(id div {shape[1]} as int) as row", f"cast(id % {shape[1]} as int) as col")
+        z = long.selectExpr("row", "col", f"case when row = {shape[0] - 1} and col = {shape[1] - 1} then 7.0d end as z")
+        began = time.time()
+        filled = dem.nearest_fill(z).filter("z = 7").groupBy("dem_filled").count().collect()
+        assert {r["dem_filled"]: r["count"] for r in filled} == {True: 179_999, False: 1} and time.time() - began < 60
+
+
 def test_flat_ground_has_no_aspect(spark):
     got = dem.factors(pixels(spark, np.full((4, 4), 7.0), "z", "double"), 3, 3).first()
     assert (got.slope, got.aspect_sin, got.aspect_cos, got.tpi, got.relief) == (0, 0, 0, 0, 0)
