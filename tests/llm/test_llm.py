@@ -6,6 +6,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -628,6 +629,30 @@ def test_hmm_scores(spark, odd, rows, monkeypatch):
     assert hmm.score(odd.limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("aAbZ\u0130\u00a0\u2003\x1c\x85 \t\n\x0b\x0c\r")), max_size=6))
+def test_word_places_are_the_words(texts):
+    distinct, at, sizes = hmm.word_places(pa.array(["x y", *texts], pa.string()).slice(1))
+    assert hmm.as_list(distinct) == distinct.to_pylist() and len({*distinct.to_pylist()}) == len(distinct)
+    assert sizes.tolist() == [len(hmm.words(t)) for t in texts]
+    assert [distinct[i].as_py() for i in at.tolist()] == [w for t in texts for w in hmm.words(t)]
+
+
+@pytest.mark.parametrize("frequent", [[], [(b"", 9), (b"a", 5), (b"b", 2)], [(b"a", 5)]])
+def test_encoded_documents(spark, frequent):
+    """Each distinct word of a batch is looked up once; sums, classes and rest are those of every token."""
+    texts = ["a B a c c \n", None, "  ", "b\x0bd a C", "a b " * 300]
+    classes = hmm.Classes(4096, 1, 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known, group = dict(frequent), dict(zip([w for w, _ in frequent], classes.assigned(frequent)))
+    for r in hmm.encode(docs, frequent, "doc_id", "text", F.lit(False), classes).collect():
+        w = [*hmm.words(texts[r.doc_id]), b""]
+        assert (r.n_tokens, r.n_often) == (len(w), sum(x in known for x in w))
+        assert abs(r.log_often - sum(log10(known[x] + 0.1) for x in w if x in known)) < 1e-9
+        assert np.frombuffer(r.classes, "<u2").tolist() == [0 if x == b"" else group.get(x) or classes.of(x) for x in w]
+        assert {bytes(k): v for k, v in zip(r.rare, r.times)} == Counter(x for x in w if x not in known)
+
+
 def test_hmm_beats_the_base_on_held_out_text(spark):
     """On a thousand documents; with 180 training documents (scale 0.001) the model is about 1 % worse than the base."""
     got = [r for r in queries.op10_hmm_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
