@@ -10,7 +10,9 @@ by their smoothed counts. So the model is a proper distribution over texts:
 c a token's training count, M_class the sum of (c + 0.1) over the class's training words plus 0.1 for unseen ones.
 Baum-Welch starts from random emissions around the class frequencies, and in each round its counts are summed over
 all training documents, ROUNDS times (a caller may let it end where a round gains little): tasks run the scaled forward and backward recursions over whole documents (keeping the forward
-variables of one stretch of steps at a time, and those before each stretch) and send one table of counts each. Scores
+variables of one span of steps at a time, and those before each span) and send one table of counts each. What is the same
+in each round is done once before them: documents that step together are stored as one group, step by step, by places among the
+group's own classes. Scores
 run the scaled forward recursion over whole documents. Documents are dealt by length, as those of a task step together.
 
 Counts of at most FREQUENT most frequent words are broadcast (fixed size); all others are joined in a shuffle, so
@@ -41,7 +43,9 @@ LEAST_CLASSES, MOST_CLASSES, WORDS_A_CLASS = 4096, 262_144, 64
 FREQUENT = 100_000
 #: Tokens that a training task reads (fewer if that leaves cores idle); tokens and documents that step together at most
 #: (or one document); tokens in a stretch of steps, which fits a core's cache, and tokens whose forward variables are held.
-TASK_TOKENS, TOGETHER, SIDE_BY_SIDE, STRETCH, HOLD = 16_000_000, 4_000_000, 1024, 16_384, 1_000_000
+TASK_TOKENS, TOGETHER, SIDE_BY_SIDE, STRETCH, HOLD = 16_000_000, 4_000_000, 4096, 16_384, 2_000_000
+#: So many documents step together at least, where TOGETHER allows it; more only while they have at most HOLD tokens.
+ABREAST = 512
 #: Weight, in tokens, of the class frequencies in each state's emissions, and of the mean in each transition row.
 SMOOTH = 200.0
 #: A count that no word reaches.
@@ -215,23 +219,24 @@ class Hmm:
         move = np.full((states, states), 0.02) + np.eye(states)
         return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
 
-    def _forward(self, emit: np.ndarray, ids: np.ndarray, off: np.ndarray, a: int, b: int, alpha: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _forward(self, emit: np.ndarray, ids: np.ndarray, off: np.ndarray, a: int, b: int, alpha: np.ndarray | None, room: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Emissions over their scales, forward variables (both tokens by states) and scales of steps a to b; alpha: the
-        variables of step a - 1. emit: classes by states, so that a token's emissions lie together; its type is that of
-        the results. A product with ones sums a token's states and repeats the sum for each."""
+        variables of step a - 1; room: where the first two are written. emit: classes by states, so that a token's emissions
+        lie together; its type is that of the results. A product with ones sums a token's states and repeats the sum for each."""
         kind_, base = emit.dtype, off[a]
         move, start, ones = self.move.astype(kind_), self.start.astype(kind_), np.ones_like(self.move, kind_)
-        seen = np.take(emit, ids[base : off[b]], axis=0, mode="clip")
-        out, scale = np.empty_like(seen), np.empty_like(seen)
+        seen, out = (x[: off[b] - base] for x in room)
+        np.take(emit, ids[base : off[b]], axis=0, mode="clip", out=seen)
+        scale = np.empty_like(seen)
         edges = (off[a : b + 1] - base).tolist()
         for lo, hi in zip(edges, edges[1:], strict=False):
             now, s = out[lo:hi], scale[lo:hi]
             if alpha is None:
                 np.multiply(start, seen[lo:hi], out=now)
             else:
-                np.matmul(alpha[: hi - lo], move, out=now)
+                np.dot(alpha[: hi - lo], move, out=now)
                 now *= seen[lo:hi]
-            np.matmul(now, ones, out=s)
+            np.dot(now, ones, out=s)
             now /= s
             alpha = now
         seen /= scale
@@ -241,8 +246,9 @@ class Hmm:
         """log10 likelihood of each whole sequence by the scaled forward recursion; sequences step together."""
         order, ids, off = time_major(docs)
         out, alpha, emit = np.zeros(len(docs)), None, np.ascontiguousarray(self.emit, np.float64)
+        room = rooms(off, STRETCH, emit)
         for a, b in stretches(off):
-            _, held, scale = self._forward(emit, ids, off, a, b, alpha)
+            _, held, scale = self._forward(emit, ids, off, a, b, alpha, room)
             logs, edges = np.log10(scale), (off[a : b + 1] - off[a]).tolist()
             for lo, hi in zip(edges, edges[1:], strict=False):
                 out[: hi - lo] += logs[lo:hi]
@@ -252,31 +258,44 @@ class Hmm:
         return back
 
     def counts(self, docs: list[np.ndarray], total: dict[str, np.ndarray]) -> float:
-        """Add expected counts of whole sequences to total, return their log10 likelihood: Baum-Welch with scaled
-        recursions, sequences stepping together. Each step's variables are 32-bit floats, their sums 64-bit. Forward
-        variables of the last HOLD tokens are held, others computed again from those before their stretch."""
+        """Add expected counts of whole sequences to total, return their log10 likelihood."""
         _, ids, off = time_major(docs)
-        todo, alpha, emit, log = [], None, np.ascontiguousarray(self.emit, np.float32), 0.0
-        for a, b in stretches(off):
-            seen, out, scale = self._forward(emit, ids, off, a, b, alpha)
-            log += float(np.log10(scale, dtype=np.float64).sum())
-            hold = off[-1] - off[a] <= HOLD
-            todo.append((a, b, alpha, (seen, out) if hold else None))
-            alpha = out[off[b - 1] - off[a] :]
-            alpha = alpha if hold else alpha.copy()
-        moved, after, back = np.zeros_like(self.move), np.zeros((0, len(self.start)), np.float32), np.ascontiguousarray(self.move.T, np.float32)
-        tokens, weights = [], [[] for _ in self.start]
-        while todo:
-            a, b, alpha, held = todo.pop()
-            seen, out = held or self._forward(emit, ids, off, a, b, alpha)[:2]
+        found, at = places(ids, len(self.emit))
+        return self.group_counts(found, at, off, np.ascontiguousarray(self.emit, np.float32), total)
+
+    def group_counts(self, found: np.ndarray, ids: np.ndarray, off: np.ndarray, emit: np.ndarray, total: dict[str, np.ndarray]) -> float:
+        """Add expected counts of a group (classes found in it; each token's place among them, step by step; where steps
+        begin) to total, return its log10 likelihood: Baum-Welch with scaled recursions, sequences stepping together. emit:
+        the emissions as 32-bit floats. Each step's variables are 32-bit floats, their sums 64-bit. Forward variables of the
+        last span of at most HOLD tokens are held, others computed again from those before their span."""
+        emit, spans, log, alpha, befores = emit[found], list(stretches(off, HOLD)), 0.0, None, []
+        room, sums = rooms(off, HOLD, emit), np.zeros((len(self.start), len(found)))
+        back, moved, after = np.ascontiguousarray(self.move.T, np.float32), np.zeros_like(self.move), np.zeros((0, len(self.start)), np.float32)
+
+        def forward(span: tuple[int, int], alpha: np.ndarray | None) -> tuple[float, np.ndarray | None]:
+            gained, base = 0.0, off[span[0]]
+            for a, b in stretches(off, STRETCH, *span):
+                _, out, scale = self._forward(emit, ids, off, a, b, alpha, tuple(x[off[a] - base :] for x in room))
+                gained, alpha = gained + float(np.log10(scale).sum(dtype=np.float64)), out[off[b - 1] - off[a] :]
+            return gained, alpha
+
+        for span in spans:
+            befores.append(alpha)
+            gained, alpha = forward(span, alpha)
+            log, alpha = log + gained, alpha.copy()
+        for i in range(len(spans) - 1, -1, -1):
+            a, b = spans[i]
+            if i < len(spans) - 1:
+                forward((a, b), befores[i])
+            seen, out = room
             edges = (off[a : b + 1] - off[a]).tolist()
             for t in range(b - a - 1, -1, -1):
                 lo, hi = edges[t], edges[t + 1]
                 n = len(after)
                 if n:
                     now = out[lo : lo + n]
-                    moved += now.T @ after
-                    beta = after @ back
+                    moved += np.dot(now.T, after)
+                    beta = np.dot(after, back)
                     now *= beta
                     after = seen[lo:hi]
                     after[:n] *= beta
@@ -285,15 +304,10 @@ class Hmm:
             if not a:
                 total["start"] += out[: edges[1]].sum(axis=0)
             after = after.copy()
-            for parts, mine in zip(weights, np.ascontiguousarray(out.T), strict=True):
-                parts.append(mine)
-            tokens.append(ids[off[a] : off[b]])
-            if not a or sum(map(len, tokens)) > HOLD:
-                at = np.concatenate(tokens).astype(np.intp)
-                for state, parts in enumerate(weights):
-                    total["emit"][:, state] += np.bincount(at, np.concatenate(parts), len(total["emit"]))
-                    parts.clear()
-                tokens.clear()
+            at = ids[off[a] : off[b]].astype(np.intp)
+            for state in range(len(sums)):
+                sums[state] += np.bincount(at, out[: len(at), state], len(found))
+        total["emit"][found] += sums.T
         total["move"] += moved * self.move
         return log
 
@@ -324,15 +338,31 @@ def time_major(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return order, ids, off
 
 
-def stretches(off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of steps (a, b) of at most STRETCH tokens, or of one step."""
-    a, steps = 0, len(off) - 1
+def stretches(off: np.ndarray, most: int = 0, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs (a, b) of the steps from first to last, of at most so many tokens (STRETCH), or of one step."""
+    a, steps = first, len(off) - 1 if last is None else last
     while a < steps:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + STRETCH, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + (most or STRETCH), "right")) - 1)
         yield a, min(b, steps)
         a = min(b, steps)
 
 
+def rooms(off: np.ndarray, most: int, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables with a row for each token of any of stretches(off, most)."""
+    rows = max(most, int(np.diff(off).max(initial=0)))
+    return tuple(np.empty((min(rows, int(off[-1])), emit.shape[1]), emit.dtype) for _ in range(2))
+
+
+def places(ids: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, frequent ones first so that their emissions lie together, and each id's place among them."""
+    times = np.bincount(ids, minlength=classes)
+    found = np.flatnonzero(times)
+    found = found[np.argsort(-times[found], kind="stable")]
+    place = np.zeros(classes, kind(max(2, len(found))))
+    place[found] = np.arange(len(found))
+    return found.astype(np.int32), place[ids]
+
+
 def _class_ids(column: pa.Array, classes: int) -> list[np.ndarray]:
     return [np.frombuffer(x, kind(classes)) for x in column.to_pylist()]
 
@@ -354,10 +384,38 @@ def dealt(coded: DataFrame) -> DataFrame:
     return coded.withColumn("_part", table(first) + F.pmod(F.xxhash64("row"), table(parts)).cast("int")).repartitionByRange(at, "_part").drop("_part")
 
 
-def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
-    """The model after one round, and the digits a token of the model before it. One round over all rows of training (classes binary). A task sums its counts and sends them in 16 parts; each
-    part is summed over salted groups of tasks first, so a merging task reads a bounded share."""
-    spark = training.sparkSession
+GROUP = "tokens int, found binary, ids binary, off binary"
+
+
+def grouped(training: DataFrame, classes: int) -> DataFrame:
+    """One row for each group of documents of training (classes binary) that step together: their number of tokens, the
+    classes found in them, each token's place among those, step by step, and where steps begin. All rounds read it."""
+
+    def close(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        _, ids, off = time_major(waiting)
+        found, at = places(ids, classes)
+        return pa.record_batch([pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (found, at, off))], names=["tokens", "found", "ids", "off"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, n = [], 0
+        for b in batches:
+            for d in _class_ids(b.column(0), classes):
+                many = n + len(d)
+                if waiting and (many > TOGETHER or len(waiting) >= (ABREAST if many > HOLD else SIDE_BY_SIDE)):
+                    yield close(waiting)
+                    waiting, n = [], 0
+                waiting.append(d)
+                n += len(d)
+        if waiting:
+            yield close(waiting)
+
+    return training.select("classes").mapInArrow(run, GROUP)
+
+
+def baum_welch(groups: DataFrame, hmm: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
+    """The model after one round, and the digits a token of the model before it. One round over all groups. A task sums its counts and sends them in 16 parts; each
+    part is summed over 16 tasks first (beyond 1,024 tasks over a 64th of them), so a merging task reads a bounded share."""
+    spark = groups.sparkSession
     held = spark.sparkContext.broadcast(hmm)
     classes, states = hmm.emit.shape
     blocks, size = 16, classes // 16
@@ -366,15 +424,12 @@ def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> tuple[Hmm, f
         from pyspark import TaskContext
 
         m = held.value
-        total, waiting, n, log = m.zeros(), [], 0, 0.0
+        total, log, emit = m.zeros(), 0.0, np.ascontiguousarray(m.emit, np.float32)
         for b in batches:
-            for d in _class_ids(b.column(0), classes):
-                if waiting and (n + len(d) > TOGETHER or len(waiting) >= SIDE_BY_SIDE):
-                    log += m.counts(waiting, total)
-                    waiting, n = [], 0
-                waiting.append(d)
-                n += len(d)
-        log += m.counts(waiting, total)
+            for i in range(b.num_rows):
+                found, ids, off = (np.frombuffer(x[i].as_buffer(), "u1") for x in b.columns[1:])
+                found = found.view("<i4")
+                log += m.group_counts(found, ids.view(kind(max(2, len(found)))), off.view("<i8"), emit, total)
         parts = [total["emit"][i * size : (i + 1) * size].astype(np.float32).tobytes() for i in range(blocks)]
         parts.append(np.concatenate([total["start"], total["move"].ravel(), [log]]).astype(np.float32).tobytes())
         n = len(parts)
@@ -387,8 +442,8 @@ def baum_welch(training: DataFrame, hmm: Hmm, share: np.ndarray) -> tuple[Hmm, f
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([int(table.column("task").to_numpy().min())], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, task int, sums binary"
-    sent = training.select("classes").mapInArrow(local, schema)
-    once = sent.groupBy("part", F.expr("task % 64").alias("salt")).applyInArrow(lambda key, t: merge(key, t, np.float32), schema)
+    sent = groups.mapInArrow(local, schema)
+    once = sent.groupBy("part", F.expr("task div 16 % 64").alias("salt")).applyInArrow(lambda key, t: merge(key, t, np.float32), schema)
     done = once.groupBy("part").applyInArrow(lambda key, t: merge(key, t, np.float64), schema)
     got = {r["part"]: np.frombuffer(r["sums"], np.float64) for r in done.collect()}
     total, log = hmm.zeros(), 0.0
@@ -403,8 +458,9 @@ def fit(training: DataFrame, share: np.ndarray, states: int = STATES, rounds: in
     """At most so many rounds, each over all rows of training, from random emissions; the last is the first that finds
     the likelihood risen by less than least_gain digits a token."""
     hmm, was = Hmm.random(share, states), -np.inf
+    groups = materialize(grouped(training, len(share)), "lm-training")
     for _ in range(rounds):
-        hmm, now = baum_welch(training, hmm, share)
+        hmm, now = baum_welch(groups, hmm, share)
         if now - was < least_gain:
             break
         was = now
@@ -435,7 +491,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int
     np.add.at(mass, sums.column("k").to_numpy(), sums.column("c").to_numpy() + ADD * sums.column("n").to_numpy())
     share = mass / mass.sum()
     coded = materialize(encode(docs, often, key, text, out_of, classes), "lm-coded")
-    training = materialize(dealt(coded.filter("not held_out").select("row", "n_tokens", "classes")), "lm-training")
+    training = dealt(coded.filter("not held_out").select("row", "n_tokens", "classes"))
 
     hmm = fit(training, share, states, rounds, least_gain)
 

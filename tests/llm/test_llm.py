@@ -675,6 +675,32 @@ def test_every_round_reads_whole_documents(spark):
     assert hmm.ROUNDS == 15 and not hasattr(hmm, "START_DOCS")
 
 
+@pytest.mark.parametrize("hold, most", [(1, 3), (40, 7), (10_000, 1000)])
+def test_rounds_read_groups_made_once(spark, monkeypatch, hold, most):
+    """Groups hold every token of every document, and give the sums of one document at a time, however few are held."""
+    monkeypatch.setattr(hmm, "HOLD", hold)
+    monkeypatch.setattr(hmm, "STRETCH", 16)
+    monkeypatch.setattr(hmm, "SIDE_BY_SIDE", most)
+    monkeypatch.setattr(hmm, "ABREAST", 2)
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 70_000, n).astype("<u4") for n in [1, 1, 2, 90, 5, 33, 7, 60, 1, 12]]
+    groups = hmm.grouped(spark.createDataFrame([(d.tobytes(),) for d in docs], "classes binary").coalesce(1), 70_000).collect()
+    assert 1 < len(groups) or most > len(docs)
+    m = hmm.Hmm.random(np.full(70_000, 1 / 70_000), 3)
+    got, want, log, back = m.zeros(), m.zeros(), 0.0, []
+    for g in groups:
+        found, off = np.frombuffer(g.found, "<i4"), np.frombuffer(g.off, "<i8")
+        ids = np.frombuffer(g.ids, hmm.kind(max(2, len(found))))
+        steps = [found[ids[a:b]] for a, b in zip(off, off[1:])]
+        back += [tuple(s[i] for s in steps if i < len(s)) for i in range(len(steps[0]))]
+        log += m.group_counts(found, ids, off, m.emit.astype(np.float32), got)
+    assert sorted(back) == sorted(map(tuple, docs))
+    assert abs(log - sum(m.counts([d], want) for d in docs)) < 1e-3 and abs(log - m.scores(docs).sum()) < 1e-2
+    for k in got:
+        assert np.allclose(got[k], want[k], rtol=1e-4, atol=1e-6) and got["emit"].sum() > 0
+    assert abs(got["emit"].sum() - sum(map(len, docs))) < 1e-3
+
+
 # --- pipeline
 
 
