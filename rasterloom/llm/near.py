@@ -11,21 +11,26 @@ so neither way decides. In the order of
 and every text that goes is similar to one that stays.
 
 A block of more than BLOCK texts is first compared with its LEADERS smallest texts, in cells of bounded size, again
-and again until what is undecided fits one task.
+as long as a leader sends away MANY texts and more on average. What is undecided then is either small enough for one task, or
+has few similar pairs (some MANY a text, if later texts are like the leaders; more pairs cost time and disk, not exactness):
+cells of two parts of the block find them all, and the order decides along the pairs. So the rounds do not grow with the texts of
+a block that stay; the comparisons do, with their square, as before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm import simhash
 from rasterloom.llm.common import slices
-from rasterloom.operators.graph import connected_components
+from rasterloom.operators.graph import SMALL, connected_components
 from rasterloom.session import materialize
 
 #: Fixed values of the contract: words in a shingle, and the least similarity LEAST / 10.
@@ -33,6 +38,8 @@ SHINGLE, LEAST = 5, 8
 BANDS, ROWS, SEED = 24, 5, 42
 #: Undecided texts of a block that one task compares, and texts of a larger block that decide the rest in one round.
 BLOCK, LEADERS = 512, 64
+#: Texts that a leader must send away on average for one more round of leaders.
+MANY = 8
 _RANDOM = np.random.default_rng(SEED)
 _XOR, _TIMES = (_RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1) for _ in range(2))
 _FOLD = _RANDOM.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
@@ -53,12 +60,32 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in spans], np.uint64))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether |a and b| / |a or b| >= LEAST / 10, in integers."""
-    if 10 * min(len(a), len(b)) < LEAST * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 10 * both >= LEAST * (len(a) + len(b) - both)
+class Sets:
+    """Sets of hashes (none empty), numbered densely once, so that one is compared with all that were added in one pass."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        names, ids = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.sets = np.split(ids.astype(np.int32), np.cumsum(self.sizes)[:-1])
+        self.marks = np.zeros(len(names), np.int32)
+        self.flat = np.empty(len(ids), np.int32)
+        self.starts, self.added = np.zeros((2, len(sets)), np.int64)
+        self.n = self.end = 0
+
+    def add(self, k: int) -> None:
+        self.starts[self.n], self.added[self.n] = self.end, k
+        self.flat[self.end : self.end + self.sizes[k]] = self.sets[k]
+        self.n, self.end = self.n + 1, self.end + int(self.sizes[k])
+
+    def similar(self, k: int) -> np.ndarray:
+        """The added sets for which |a and b| / |a or b| >= LEAST / 10, in integers."""
+        if not self.n:
+            return self.added[:0]
+        self.marks[self.sets[k]] = 1
+        both = np.add.reduceat(self.marks[self.flat[: self.end]], self.starts[: self.n], dtype=np.int64)
+        self.marks[self.sets[k]] = 0
+        added = self.added[: self.n]
+        return added[10 * both >= LEAST * (self.sizes[added] + self.sizes[k] - both)]
 
 
 def bands(text: str | None) -> np.ndarray:
@@ -99,11 +126,15 @@ def _in_order(t: pa.Table) -> list[tuple[int, int, int | None, str]]:
 
 def decide(rows: list[tuple], kept: list[np.ndarray]) -> list[tuple]:
     """The rows (in order) that are similar neither to kept nor to an earlier row that stays; kept grows by them."""
-    stay = []
-    for r in rows:
-        mine = shingles(r[3])
-        if not any(similar(mine, k) for k in kept):
-            kept.append(mine)
+    mine = [shingles(r[3]) for r in rows]
+    sets, stay = Sets(kept + mine), []
+    first = len(kept)
+    for k in range(first):
+        sets.add(k)
+    for k, r in enumerate(rows):
+        if not len(sets.similar(first + k)):
+            sets.add(first + k)
+            kept.append(mine[k])
             stay.append(r)
     return stay
 
@@ -123,33 +154,96 @@ def _leaders(t: pa.Table) -> pa.Table:
     return out.append_column("parts", pa.array([t.column("parts")[0].as_py()] * out.num_rows, pa.int32()))
 
 
+def _undecided(t: pa.Table) -> pa.Table:
+    """Of a cell, the texts that are similar to no leader."""
+    leads = np.array(t.column("leads").to_pylist(), bool)
+    rows = [_in_order(t.filter(pa.array(x))) for x in (leads, ~leads)]
+    sets = Sets([shingles(r[3]) for x in rows for r in x])
+    for k in range(len(rows[0])):
+        sets.add(k)
+    out = _table([r for k, r in enumerate(rows[1], len(rows[0])) if not len(sets.similar(k))])
+    return out.append_column("was", pa.array([pc.max(t.column("n")).as_py()] * out.num_rows, pa.int64()))
+
+
+_LINKS = "block long, node long, least long, before long"
+
+
+def _links(t: pa.Table) -> pa.Table:
+    """node, least, before: the similar pairs inside a part of a block, or across two; before is the text that is first in order."""
+    rows, part = _in_order(t), dict(zip(t.column("node").to_pylist(), t.column("part").to_pylist(), strict=True))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    sets, found = Sets([shingles(r[3]) for r in rows]), []
+    for k in range(len(rows)) if i != j else ():
+        if part[rows[k][1]] == i:
+            sets.add(k)
+    for k in range(len(rows)):
+        if i == j or part[rows[k][1]] == j:
+            found += [(rows[max(k, x)], rows[min(k, x)][1]) for x in sets.similar(k).tolist()]
+        if i == j:
+            sets.add(k)
+    out = pa.table([pa.array([r[c] for r, _ in found], pa.int64()) for c in range(3)], names=["block", "node", "least"])
+    return out.append_column("before", pa.array([x for _, x in found], pa.int64()))
+
+
+def _gone(t: pa.Table) -> pa.Table:
+    rows = zip(*(t.column(c).to_pylist() for c in ("node", "least", "before")), strict=True)
+    gone: set[int] = set()
+    for node, _, before in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])):
+        if before not in gone:
+            gone.add(node)
+    return pa.table({"node": pa.array(list(gone), pa.int64())})
+
+
+def _along_links(texts: DataFrame) -> DataFrame:
+    """node of every text (block, node, least, text, n: texts of the block) that stays, from all similar pairs of a block."""
+    parts = F.ceil(F.col("n") / max(1, BLOCK // 2)).cast("int")  # two parts are BLOCK texts
+    dealt = texts.withColumn("parts", parts).withColumn("part", F.pmod("node", "parts").cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("block", "node", "least", "text", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    links = materialize(cells.groupBy("block", "i", "j").applyInArrow(_links, _LINKS), "near-links")
+    gone, was, n = [], None, links.count()
+    # texts that come after no similar text stay, and send away what is similar to them; few pairs, or long chains, go to one task a block
+    while n > SMALL and (was is None or 10 * n < 9 * was):
+        stay = links.select(F.col("before").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
+        out = materialize(links.join(stay.withColumnRenamed("node", "before"), "before", "left_semi").select("node").distinct(), "near-out")
+        links = links.join(out, "node", "left_anti").join(out.withColumnRenamed("node", "before"), "before", "left_anti")
+        links = materialize(links.select("block", "node", "least", "before"), "near-links")
+        gone, was, n = [*gone, out], n, links.count()
+    stay = texts.select("node")
+    for out in [*gone, materialize(links.groupBy("block").applyInArrow(_gone, "node long"), "near-out")]:
+        stay = stay.join(out, "node", "left_anti")
+    return stay
+
+
 def staying(texts: DataFrame) -> DataFrame:
     """node of every text (block, node, least, text) that stays."""
-    spark = texts.sparkSession
-    kept = spark.createDataFrame([], "node long")
+    columns = ["block", "node", "least", "text"]
+    kept, small, sparse = [], [], []
+    texts = texts.select(*columns, F.lit(None).cast("long").alias("was"))
     while True:
-        sizes = materialize(texts.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK), "near-sizes")
-        if sizes.isEmpty():
-            return kept.unionByName(texts.groupBy("block").applyInArrow(lambda t: _nodes(decide(_in_order(t), [])), "node long"))
-        large = texts.join(sizes, "block").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+        # was: the block's texts before the last round of leaders
+        sizes = texts.groupBy("block").agg(F.count("*").alias("n"), F.max("was").alias("was")).filter(F.col("n") > BLOCK)
+        few = F.coalesce(F.col("was") - F.col("n") < (1 + MANY) * LEADERS, F.lit(False))
+        sizes = materialize(sizes.select("block", "n", few.alias("few")), "near-sizes")
+        small.append(texts.join(sizes, "block", "left_anti").select(*columns))
+        n, n_few = sizes.agg(F.count("*"), F.count_if("few")).first()
+        if n_few:
+            sparse.append(texts.select(*columns).join(sizes.filter("few").select("block", "n"), "block"))
+        if n == n_few:
+            break
+        large = texts.select(*columns).join(sizes.filter("not few").select("block", "n"), "block").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
         rank = F.row_number().over(Window.partitionBy("block").orderBy(F.col("least").asc_nulls_last(), "node"))
-        first = materialize(large.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).drop("rank"), "near-first")
+        first = materialize(large.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).drop("rank", "n"), "near-first")
         leaders = first.groupBy("block", "parts").applyInArrow(_leaders, f"{_TEXTS}, parts int")
         leaders = materialize(leaders, "near-leaders")
         others = large.join(first.select("node"), "node", "left_anti").withColumn("part", F.pmod("node", "parts").cast("int"))
         sent = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        columns = ["block", "node", "least", "text", "part"]
-        cells = others.select(*columns, F.lit(False).alias("leads")).unionByName(sent.select(*columns, F.lit(True).alias("leads")))
-
-        def run(t: pa.Table) -> pa.Table:
-            leads = np.array(t.column("leads").to_pylist(), bool)
-            against = [shingles(r[3]) for r in _in_order(t.filter(pa.array(leads)))]
-            rest = _in_order(t.filter(pa.array(~leads)))
-            return _table([r for r in rest if not any(similar(mine, k) for mine in [shingles(r[3])] for k in against)])
-
-        undecided = cells.groupBy("block", "part").applyInArrow(run, _TEXTS)
-        kept = kept.unionByName(leaders.select("node"))
-        texts = materialize(undecided.unionByName(texts.join(sizes, "block", "left_anti").select("block", "node", "least", "text")), "near-texts")
+        cells = others.select(*columns, "part", "n", F.lit(False).alias("leads")).unionByName(sent.select(*columns, "part", F.lit(None).cast("long").alias("n"), F.lit(True).alias("leads")))
+        kept.append(leaders.select("node"))
+        texts = materialize(cells.groupBy("block", "part").applyInArrow(_undecided, f"{_TEXTS}, was long"), "near-texts")
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    kept.append(union(small).groupBy("block").applyInArrow(lambda t: _nodes(decide(_in_order(t), [])), "node long"))
+    return union([*kept, _along_links(union(sparse))] if sparse else kept)
 
 
 def _linked(distinct: DataFrame) -> DataFrame:

@@ -766,6 +766,45 @@ def test_pipeline_finds_near_copies(spark, monkeypatch):
     assert got == {x[1] for x in near.decide(texts, [])} and 2 < len(got) < 30
 
 
+def test_large_block_of_different_texts_takes_few_rounds(spark, monkeypatch):
+    """Texts of a large block that mostly stay are decided along their similar pairs, not by ever more rounds of leaders."""
+    from rasterloom.llm import near
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base, texts = [word() for _ in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(60), r.choice((1, 2, 3))):
+            w[at] = word()
+        texts.append((7, r.getrandbits(62), None if i % 50 == 0 else i // 2, " ".join(w)))
+    texts += [(8, 10_000 + i, i, " ".join([*base[:58], word()])) for i in range(40)]  # a large group of near copies
+    texts += [(9, 20_000 + i, i, " ".join(base[: 10 * i])) for i in range(5)]
+    order = lambda b: sorted((x for x in texts if x[0] == b), key=lambda x: (x[2] is None, x[2] or 0, x[1]))
+    sets = {x[1]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for x in texts for w in [x[3].split()]}
+    alike = lambda a, b: 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    want: set[int] = set()
+    for b in (7, 8, 9):
+        mine: list[int] = []
+        for x in order(b):
+            if not any(alike(x[1], y) for y in mine):
+                mine.append(x[1])
+        want |= set(mine)
+    assert 60 < len(want) < 150
+
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "LEADERS", 3)
+    written, write = [], near.materialize
+    monkeypatch.setattr(near, "materialize", lambda df, tag, *a: (written.append(tag), write(df, tag, *a))[1])
+    df = spark.createDataFrame(texts, near._TEXTS)
+    for small in (50_000, 0):  # one task a block decides along the pairs; or rounds do, while pairs grow fewer
+        monkeypatch.setattr(near, "SMALL", small, raising=False)
+        written.clear()
+        got = [x.node for x in near.staying(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert written.count("near-leaders") <= 3
+
+
 def test_near_copies_tell_rows_of_one_doc_id_apart(spark):
     import corpus_pipeline as c
 
